@@ -197,11 +197,9 @@ def _cross_pairs(postings: DataFrame, parts: DataFrame, how: Join) -> DataFrame:
 
 
 def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles, component_id and representative of each row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
 
-    ``component_id`` is the smallest id that links reach, the row's own included. ``representative``
-    marks one row of each component (of rows with that smallest id, the one with the least fingerprint
-    is in the class kept; equal rows all have it). Null and wordless texts have empty sets and link with
+    ``component_id`` is the smallest id that links reach, the row's own included. Null and wordless texts have empty sets and link with
     nothing; with fewer words than an n-gram the whole sequence is one. Rows with a null id take part and
     get their component's id. Repeated rows stay rows; an empty table gives no rows; other columns are
     ignored.

@@ -107,13 +107,13 @@ def permuted(draw: pd.Series, n: pd.Series, source: pd.Series, seed: pd.Series)
         return pd.Series(_feistel(d % m, m, key))
 
 
-def lay_out(docs: DataFrame, how: Mix) -> DataFrame:
+def lay_out(docs: DataFrame, how: Mix, keep: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with size, and each row's place in its source's stream.
 
     A source's rows are spread over ``how.buckets`` buckets by hash; the stream runs through the
     buckets in order. So the running sum needs one window per bucket and one over bucket sums.
     """
-    extra = ["text"] if "text" in docs.columns else []
+    extra = (["text"] if "text" in docs.columns else []) + [f"_keep_{c}" for c in keep]
     ties = [c for c in ("_tie", "text") if c in docs.columns]
     rows = docs.withColumn("_bucket", F.pmod(row_key("doc_id", *ties), F.lit(how.buckets)).cast("int"))
     within = Window.partitionBy("source", "_bucket").orderBy("doc_id", "size", *ties)
@@ -215,26 +215,28 @@ def slices(text: pd.Series, start: pd.Series, size: pd.Series, block: pd.Series)
     return pd.Series(out)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix()) -> DataFrame:
-    """The mix itself: one row per drawn block and document in it.
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mix itself: one row per drawn block and document in it, with the columns ``keep`` of the document.
 
     Returns out_shard, draw, source_no, block, doc_id, source and text, the slice of the document
     that lies in the block; a block drawn k times gives its slices k times. Documents without words
-    give no row. An empty table gives no rows. Columns other than doc_id, text, source are ignored.
+    give no row. An empty table gives no rows. Columns other than doc_id, text, source and ``keep`` are ignored.
     """
     spark = tuned(docs.sparkSession)
-    sized = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     kept = sized.where("size > 0")
     shape = "out_shard int, draw long, source_no int, block long, doc_id long, source string, text string"
     sums = kept.select("source", "size")
     if kept.isEmpty():
-        return spark.createDataFrame([], shape)
+        return spark.createDataFrame([], shape).select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keep])
     sources, counts = source_plan(sums, weights, how)
-    placed = lay_out(kept, how)
+    placed = lay_out(kept, how, keep)
+    kept_names = [f"_keep_{c}" for c in keep]
     numbered = placed.join(F.broadcast(sources), placed["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    parts = numbered.select("doc_id", "source", "source_no", F.explode(slices("text", "_start", "size", F.lit(how.block))).alias("_p")).select("doc_id", "source", "source_no", "_p.block", "_p.text")
+    parts = numbered.select("doc_id", "source", "source_no", *kept_names, F.explode(slices("text", "_start", "size", F.lit(how.block))).alias("_p")).select("doc_id", "source", "source_no", *kept_names, "_p.block", "_p.text")
     slots = slots_of(counts, how)
-    return parts.join(slots, ["source_no", "block"]).select("out_shard", "draw", "source_no", "block", "doc_id", "source", "text")
+    chosen = parts.join(slots, ["source_no", "block"])
+    return chosen.select("out_shard", "draw", "source_no", "block", "doc_id", "source", "text", *[F.col(f"_keep_{c}").alias(c) for c in keep])
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
