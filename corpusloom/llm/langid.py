@@ -25,15 +25,17 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: most texts to learn from. windows: most windows of a text in training (all in prediction)."""
+    """rows: most texts to learn from. windows: most windows of a text in training (all in prediction).
+    epochs, steps: training passes, more of them where a small sample would give fewer steps."""
 
     rows: int = 4000
-    windows: int = 2
+    windows: int = 3
     width: int = 192
     kernels: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
     embed: int = 8
     epochs: int = 6
+    steps: int = 600
     batch: int = 64
     rate: float = 0.01
     seed: int = 11
@@ -104,7 +106,7 @@ def train(window: np.ndarray, y: np.ndarray, langs: list[str], fit: Fit) -> Netw
     p = [x.astype(np.float32) for x in p]
     net = Network(fit, langs, *p)
     m, s, step = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p], 0
-    for _ in range(fit.epochs):
+    for _ in range(max(fit.epochs, -(-fit.steps * fit.batch // len(window)))):
         order = rng.permutation(len(window))
         for k in range(0, len(order), fit.batch):
             part = order[k : k + fit.batch]
