@@ -7,8 +7,9 @@ classes whose shared n-grams reach the threshold can have a link. Candidate pair
 n-grams of each (prefix filter, exact); each fragment counts a pair's partial overlap, and the
 counts are summed per pair.
 
-Only components are asked for, so the pairs of a group are not all formed: neighbours in each list
-are checked first, and then only pairs between different components. No link is lost.
+Only components are asked for, so the pairs of a group are not all formed. First each set of a prefix list meets
+the list's hub, then its neighbours by size, and at last every set of the list, each time only those
+in other components. No link is lost.
 """
 
 from __future__ import annotations
@@ -167,25 +168,32 @@ def overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
 
 
-def _chain_pairs(postings: DataFrame, how: Join) -> DataFrame:
+def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b, of pairs of structs one and two (n, node, root) in different components."""
+    far = pairs.where("one.root != two.root").select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"), "one", "two")
+    size = lambda end: F.when(F.col("one.node") == F.col(end), F.col("one.n")).otherwise(F.col("two.n"))
+    return far.select("a", "b", size("a").alias("na"), size("b").alias("nb")).where(_near(F.col("na"), F.col("nb"), percent)).distinct()
+
+
+def _hub_pairs(placed: DataFrame, how: Join) -> DataFrame:
+    """Each set of a list with the list's hub: the set whose n-grams are the most frequent."""
+    hubs = placed.groupBy("frag", "id").agg(F.max_by("own", F.struct("weight", "node")).alias("two"))
+    return _ordered(placed.join(hubs, ["frag", "id"]).select(F.col("own").alias("one"), "two"), how.percent)
+
+
+def _chain_pairs(placed: DataFrame, how: Join) -> DataFrame:
     """Neighbours in each list by size of set; a long list is chained in parts, and the parts' heads again."""
-    salted = postings.withColumn("_salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / how.chain_of)))
-    order = [F.col("n"), F.col("node")]
+    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / how.chain_of)))
 
     def linked(rows: DataFrame, *key: str) -> DataFrame:
-        w = Window.partitionBy(*key).orderBy(*order)
-        return rows.select("node", "n", F.lag("node").over(w).alias("_node"), F.lag("n").over(w).alias("_n")).where(F.col("_node").isNotNull())
+        return rows.select(F.col("own").alias("one"), F.lag("own").over(Window.partitionBy(*key).orderBy("own")).alias("two"))
 
-    heads = salted.where(F.col("df") > how.chain_of).groupBy("frag", "id", "_salt").agg(F.min(F.struct("n", "node")).alias("_h")).select("frag", "id", "_h.n", "_h.node")
-    both = linked(salted, "frag", "id", "_salt").union(linked(heads, "frag", "id"))
-    swap = F.col("node") > F.col("_node")
-    pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-    return both.select(pick("_node", "node").alias("a"), pick("node", "_node").alias("b"), pick("_n", "n").alias("na"), pick("n", "_n").alias("nb")).where(_near(F.col("na"), F.col("nb"), how.percent)).distinct()
+    heads = salted.where(F.col("df") > how.chain_of).groupBy("frag", "id", "_salt").agg(F.min("own").alias("own"))
+    return _ordered(linked(salted, "frag", "id", "_salt").union(linked(heads, "frag", "id")), how.percent)
 
 
-def _cross_pairs(postings: DataFrame, parts: DataFrame, how: Join) -> DataFrame:
+def _cross_pairs(placed: DataFrame, how: Join) -> DataFrame:
     """Pairs of a list that lie in different components and may still link, by the place of their first common n-gram."""
-    placed = postings.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("frag", "id").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("frag", "id")
     rows = placed.join(open_, ["frag", "id"])
     a = rows.select("frag", "id", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
@@ -217,18 +225,23 @@ def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
     segments = materialize(shared.join(live, "node"), "jaccard-segments")
 
     entry = F.transform(F.arrays_zip("ids", "dfs"), lambda x: F.struct(x["dfs"].alias("df"), F.col("frag").alias("frag"), x["ids"].alias("id")))
-    own = segments.groupBy("node", "n", "shared").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("_all"))
+    own = segments.groupBy("node", "n", "shared").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("_all"), (F.sum(F.aggregate("dfs", F.lit(0).cast("long"), lambda t, x: t + x)) / F.col("n")).alias("weight"))
     prefix = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1 - (F.col("n") - F.col("shared"))
-    listed = own.select("node", "n", "shared", F.posexplode(F.slice("_all", F.lit(1), prefix.cast("int"))).alias("_pos", "_e"))
-    postings = materialize(listed.select("node", "n", (F.col("n") - F.col("shared") + F.col("_pos")).alias("place"), "_e.df", "_e.frag", "_e.id"), "jaccard-postings")
-
-    tried = materialize(_chain_pairs(postings, how), "jaccard-chain")
-    links = materialize(overlaps(tried, segments, how.percent).select("a", "b"), "jaccard-links")
-    parts = components(links)
-    rest = materialize(_cross_pairs(postings, parts, how).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-cross")
-    more = materialize(overlaps(rest, segments, how.percent).select("a", "b"), "jaccard-links")
-    if not more.isEmpty():
-        parts = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    listed = own.select("node", "n", "shared", "weight", F.posexplode(F.slice("_all", F.lit(1), prefix.cast("int"))).alias("_pos", "_e"))
+    postings = materialize(listed.select("node", "n", (F.col("n") - F.col("shared") + F.col("_pos")).alias("place"), "_e.df", "_e.frag", "_e.id", "weight"), "jaccard-postings")
+
+    parts = classes.select("node", F.col("node").alias("root")).limit(0)
+    tried = None
+    for step in (_hub_pairs, _chain_pairs, _cross_pairs):  # the last is exact; the others leave it few components
+        placed = postings.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("own", F.struct("n", "node", "root"))
+        found = step(placed, how)
+        if tried is not None:
+            found = found.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(found, "jaccard-pairs")
+        links = materialize(overlaps(pairs, segments, how.percent).select("a", "b"), "jaccard-links")
+        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
+        if not links.isEmpty():
+            parts = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     member = classes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(member.join(ids, "root").select("node", "component_id"), "jaccard-classes")
