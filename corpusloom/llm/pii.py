@@ -25,6 +25,7 @@ from corpusloom.sources.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + len(KINDS)
+LONGEST, REACH = 80, 96  # characters of a plausible span of the network; REACH exceeds LONGEST
 CHARS = 130  # ASCII, any other letter, anything else
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -134,6 +135,19 @@ def lesson(texts: list[str], fit: Fit) -> tuple[np.ndarray, np.ndarray]:
     return np.array(chars, np.uint8).reshape(-1, fit.window), np.array(tags, np.uint8).reshape(-1, fit.window)
 
 
+def possible(flat: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether character classes ``flat[lo:hi]`` have four digits, an at sign or a bracketed "at".
+
+    No span without them is plausible. A plausible span is shorter than REACH, so a window without
+    them that far around touches none, and its labels can't change what is found.
+    """
+    mark = flat == 64
+    mark[:-2] |= ((flat[:-2] == 40) | (flat[:-2] == 91)) & (flat[1:-1] == 97) & (flat[2:] == 116)
+    count = lambda flag: np.concatenate([[0], np.cumsum(flag)])
+    digits, marks = count((flat >= 48) & (flat <= 57)), count(mark)
+    return (digits[hi] - digits[lo] >= 4) | (marks[hi] > marks[lo])
+
+
 def _run(gates: np.ndarray, inner: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
     """One direction: hidden states (time, window, hidden) from gate inputs (time, window, 4 hidden).
 
@@ -262,6 +276,8 @@ class Tagger:
         row = np.repeat(np.arange(len(size)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts = offsets[row] + k * hop
+        live = possible(flat, np.maximum(starts - REACH, offsets[row]), np.minimum(starts + fit.window + REACH, offsets[row + 1]))
+        row, k, starts = row[live], k[live], starts[live]
         out = np.zeros(len(flat), np.int8)
         for a in range(0, len(row), 4096):
             b = min(a + 4096, len(row))
@@ -320,7 +336,7 @@ def plausible(text: str, span: tuple[int, int, int]) -> bool:
     start, end, kind = span
     own = text[start:end]
     digits = sum(c.isdigit() for c in own)
-    if "\n" in own or end - start > 80 or own != own.strip():
+    if "\n" in own or end - start > LONGEST or own != own.strip():
         return False
     if kind == 0:
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(@| ?[\[(]at[\])] ?)[A-Za-z0-9-]+((\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+", own))

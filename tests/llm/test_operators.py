@@ -1,6 +1,7 @@
 """Brute-force versions, round trips and held-out accuracy of the corpus operators."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -163,6 +164,15 @@ def brute_pii(text):
     return sorted(((m.start(), m.end(), k) for k, (p, ok) in enumerate(tests) for m in re.finditer(p, text) if ok(m[0])), key=lambda s: (s[0], s[2]))
 
 
+def test_windows_left_out_change_nothing(monkeypatch):
+    made = [pii.example(random.Random(k))[0] for k in range(60)]
+    texts = [("word " * (7 * k % 90)) + item + (" tail" * (11 * k % 120)) for k, item in enumerate(made)] + ["", "no data here " * 60]
+    net = pii.train(texts, pii.Fit(rows=60, epochs=4))
+    found = pii.all_spans(texts, net)
+    monkeypatch.setattr(pii, "possible", lambda flat, lo, hi: np.ones(len(lo), bool))
+    assert found == pii.all_spans(texts, net)
+
+
 def test_tagger_gradient_and_labels():
     fit = pii.Fit(window=12, hidden=2, rows=4)
     net = pii.Tagger.fresh(fit)
