@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import retrieval, textops, upkeep
+from corpusloom.plans import likeness, retrieval, textops, upkeep
 
-_MODULES = (retrieval, textops, upkeep)
+_MODULES = (likeness, retrieval, textops, upkeep)
 
 
 def queries() -> dict:
