@@ -8,8 +8,8 @@ n-grams of each (prefix filter, exact); each fragment counts a pair's partial ov
 counts are summed per pair.
 
 Only components are asked for, so the pairs of a group are not all formed. First each set of a prefix list meets
-the list's hub, then its neighbours by size, and at last every set of the list, each time only those
-in other components. No link is lost.
+the list's hub and its neighbours by size, then every set of the list that is in another component.
+No link is lost.
 """
 
 from __future__ import annotations
@@ -192,6 +192,10 @@ def _chain_pairs(placed: DataFrame, how: Join) -> DataFrame:
     return _ordered(linked(salted, "frag", "id", "_salt").union(linked(heads, "frag", "id")), how.percent)
 
 
+def _likely_pairs(placed: DataFrame, how: Join) -> DataFrame:
+    return _hub_pairs(placed, how).union(_chain_pairs(placed, how)).distinct()
+
+
 def _cross_pairs(placed: DataFrame, how: Join) -> DataFrame:
     """Pairs of a list that lie in different components and may still link, by the place of their first common n-gram."""
     open_ = placed.groupBy("frag", "id").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("frag", "id")
@@ -232,7 +236,7 @@ def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
 
     parts = classes.select("node", F.col("node").alias("root")).limit(0)
     tried = None
-    for step in (_hub_pairs, _chain_pairs, _cross_pairs):  # the last is exact; the others leave it few components
+    for step in (_likely_pairs, _cross_pairs):  # the second is exact; the first leaves it few components
         placed = postings.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("own", F.struct("n", "node", "root"))
         found = step(placed, how)
         if tried is not None:
