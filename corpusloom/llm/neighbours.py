@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and residual codebooks are fitted on a bounded sample; every vector is indexed by its
+Rows with equal vectors are one entry of the index, so copies take one place among the candidates.
+Centroids and residual codebooks are fitted on a bounded sample of distinct vectors; each is indexed by its
 nearest centroid and the codes of its residual. Queries come in blocks: each block meets the lists
 that its queries probe, scores their codes through asymmetric distance tables, and keeps the best
-``rerank`` of each query, which are then scored exactly on the original vectors.
+``rerank`` vectors of each query, which are then scored exactly on the originals and give way to the rows
+that hold them. Queries that find too few rows are searched again in all lists.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.sources.tables import materialize, table
 
 
 @dataclass(frozen=True)
 class IvfPq:
-    """sample: vectors to fit on. most_lists: centroids at most, else the root of the row count.
-    probed: share of lists that a query visits. codes: subspaces. rerank: candidates scored exactly.
+    """sample: vectors to fit on. most_lists: centroids at most, else the root of the number of distinct vectors.
+    probed: share of lists that a query visits. codes: subspaces. rerank: distinct vectors scored exactly.
     query_block, list_block: rows that one task holds of a block of queries and of a list."""
 
     sample: int = 16384
@@ -108,6 +111,28 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
+#: Parts in which the ids of one vector are sorted before they are put together.
+ID_PARTS = 32
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """With two 64-bit hashes of the vector, key and check."""
+    return rows.withColumns({"key": F.xxhash64("embedding"), "check": F.xxhash64(F.lit(1), "embedding")})
+
+
+def least_ids(rows: DataFrame, k: int) -> DataFrame:
+    """key, check, ids of each distinct vector: its ``k`` + 1 least ids and how many rows, up to ``k``, have each.
+
+    So ``k`` rows are left whichever id is taken out.
+    """
+    counted = _keyed(rows).groupBy("key", "check", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    counted = counted.withColumn("_part", F.pmod(F.xxhash64("vec_id"), F.lit(ID_PARTS)))
+    within = Window.partitionBy("key", "check", "_part").orderBy("vec_id")
+    some = counted.withColumn("_place", F.row_number().over(within)).where(F.col("_place") <= k + 1)
+    # at most ID_PARTS x (k + 1) ids a vector
+    return some.groupBy("key", "check").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "n"))), 1, k + 1).alias("ids"))
+
+
 def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> DataFrame:
     """The ``k`` nearest rows, by inner product, of each row of ``vectors`` (vec_id, embedding) whose
     id is divisible by ``every``: query_id, rank from 1, vec_id, score.
@@ -120,102 +145,120 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample).toArrow()
+    once = rows.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("_most"))
+    # alone: no other id has the vector
+    once = materialize(_keyed(once).select("key", "check", "least", (F.col("least") == F.col("_most")).alias("alone"), "embedding"), "ann-vectors")
+    drawn = once.select("least", "key", "embedding").orderBy(F.xxhash64("least"), "least", "key").limit(how.sample).select("embedding").toArrow()
     if not drawn.num_rows:
         return spark.createDataFrame([], shape)
-    lengths = np.array([len(v) for v in drawn.column("embedding").to_pylist()])
-    d = int(np.bincount(lengths).argmax())
-    rows = rows.where(F.size("embedding") == d)
-    total = rows.count()
-    sample = np.array([v for v in drawn.column("embedding").to_pylist() if len(v) == d], np.float32)
+    drawn = drawn.column("embedding").to_pylist()
+    d = int(np.bincount([len(v) for v in drawn]).argmax())
+    rows, once = rows.where(F.size("embedding") == d), once.where(F.size("embedding") == d)
+    total = once.count()
+    sample = np.array([v for v in drawn if len(v) == d], np.float32)
     model = fit(sample, min(how.most_lists, max(1, int(total**0.5))), how)
     kept = spark.sparkContext.broadcast(model)  # at most most_lists centroids and codes x 256 centres
 
     def assign(parts):
         for b in parts:
             lists, codes = kept.value.encode(matrix(b.column("embedding"), d))
-            yield pa.RecordBatch.from_pydict({"list": pa.array(lists.astype(np.int32)), "vec_id": b.column("vec_id"), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"list": pa.array(lists.astype(np.int32)), "key": b.column("key"), "least": b.column("least"), "alone": b.column("alone"), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
 
-    coded = materialize(rows.mapInArrow(assign, "list int, vec_id long, code binary"), "ann-codes")
+    coded = materialize(once.select("key", "least", "alone", "embedding").mapInArrow(assign, "list int, key long, least long, alone boolean, code binary"), "ann-codes")
     # long lists are cut into blocks by hash, so no list is one task's work
     sizes = coded.groupBy("list").agg(F.ceil(F.count("*") / how.list_block).alias("_blocks"))  # one row per centroid
-    placed = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).cast("int"))
+    placed = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
-        ids = t.column("vec_id").to_numpy()
-        return pa.table({"list": t.column("list")[:1], "block": t.column("block")[:1], "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "codes": pa.array([b"".join(t.column("code").to_pylist())], pa.binary())})
-
-    blocks = placed.select("list", "block", "vec_id", "code").groupBy("list", "block").applyInArrow(pack, "list int, block int, ids binary, codes binary")
+        packed = {"keys": t.column("key").to_numpy().astype("<i8").tobytes(), "least": t.column("least").to_numpy().astype("<i8").tobytes(), "alone": t.column("alone").to_numpy().astype(bool).tobytes(), "codes": b"".join(t.column("code").to_pylist())}
+        return pa.table({"list": t.column("list")[:1], "block": t.column("block")[:1], **{name: pa.array([data], pa.binary()) for name, data in packed.items()}})
+
+    blocks = placed.select("list", "block", "key", "least", "alone", "code").groupBy("list", "block").applyInArrow(pack, "list int, block int, keys binary, least binary, alone binary, codes binary")
+    ids = materialize(least_ids(rows, k), "ann-ids")
+
+    def nearest(asked: DataFrame, share: float) -> DataFrame:
+        """The result for the queries ``asked`` (query_id, embedding) from this share of the lists."""
+        n_queries = max(1, asked.count())
+        groups = -(-n_queries // how.query_block)
+        asked = materialize(asked.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), "ann-queries")
+        salts = max(1, -(-int(share * len(model.centres)) // how.blocks_a_task))
+
+        def visit(t: pa.Table) -> pa.Table:
+            q = matrix(t.column("embedding"), d)
+            lists = np.unique(kept.value.probes(q, share))
+            return pa.table({"qblock": pa.array(np.full(len(lists), t.column("qblock")[0].as_py(), np.int32)), "list": pa.array(lists.astype(np.int32))})
+
+        visits = asked.groupBy("qblock").applyInArrow(visit, "qblock int, list int")
+        meets = visits.join(blocks, "list").withColumn("salt", F.pmod(F.xxhash64("list", "block"), F.lit(salts)).cast("int"))
+        salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+
+        def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+            m, parts = kept.value, []
+            q, names = matrix(right.column("embedding"), d), right.column("query_id").to_numpy()
+            wanted = np.zeros((len(q), len(m.centres)), bool)
+            if len(q):
+                wanted[np.arange(len(q))[:, None], m.probes(q, share)] = True
+            tables, coarse = m.tables(q), q @ m.centres.T
+            for no, keys, least, alone, codes in zip(*(left.column(c).to_pylist() for c in ("list", "keys", "least", "alone", "codes"))):
+                who = np.flatnonzero(wanted[:, no])
+                if not len(who):
+                    continue
+                code = np.frombuffer(codes, np.uint8).reshape(-1, len(m.cuts))
+                score = np.repeat(coarse[who, no][:, None], len(code), 1)
+                for j, t in enumerate(tables):
+                    score += t[who][:, code[:, j]]
+                score[(np.frombuffer(least, "<i8") == names[who][:, None]) & np.frombuffer(alone, bool)] = -np.inf
+                parts.append((who, np.frombuffer(keys, "<i8"), score))
+            out_q, out_keys, out_scores = [], [], []
+            for i in range(len(q)):
+                own = [(keys, score[np.searchsorted(who, i)]) for who, keys, score in parts if who[min(len(who) - 1, np.searchsorted(who, i))] == i]
+                if own:
+                    keys, score = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
+                    keys, score = keys[score > -np.inf], score[score > -np.inf]
+                    top = best(score, keys, how.rerank)
+                    out_q.append(int(names[i]))
+                    out_keys.append(keys[top])
+                    out_scores.append(score[top])
+            near = pa.ListArray.from_arrays(
+                np.concatenate([[0], np.cumsum([len(x) for x in out_keys])]).astype(np.int32),
+                pa.StructArray.from_arrays([pa.array(-np.concatenate(out_scores, dtype=np.float32) if out_scores else np.zeros(0, np.float32)), pa.array(np.concatenate(out_keys, dtype=np.int64) if out_keys else np.zeros(0, np.int64))], ["far", "key"]),
+            )
+            return pa.table({"query_id": pa.array(out_q, pa.int64()), "near": near})
+
+        found = meets.groupBy("qblock", "salt").cogroup(salted.groupBy("qblock", "salt")).applyInArrow(scan, "query_id long, near array<struct<far: float, key: long>>")
+        # at most salts x rerank candidates a query
+        kept_of = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, how.rerank).alias("near"))
+        wanted = kept_of.select("query_id", F.explode(F.array_distinct(F.transform("near", lambda x: x["key"]))).alias("key"))
+        originals = wanted.join(once.select("key", "check", "embedding"), "key").withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+
+        def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+            names = right.column("query_id").to_numpy()
+            order = np.argsort(names)
+            q = matrix(right.column("embedding"), d).astype(np.float64)[order]
+            own = np.searchsorted(names[order], left.column("query_id").to_numpy())
+            score = (matrix(left.column("embedding"), d).astype(np.float64) * q[own]).sum(1)
+            out = [np.zeros(0, np.int64)]
+            for i in range(len(q)):
+                mine = np.flatnonzero(own == i)
+                # all vectors level with the k-th stay: their rows' ids decide
+                out.append(mine if len(mine) <= k else mine[score[mine] >= np.partition(score[mine], len(mine) - k)[len(mine) - k]])
+            top = np.concatenate(out)
+            return pa.table({"query_id": pa.array(names[order][own[top]]), "key": left.column("key").take(pa.array(top)), "check": left.column("check").take(pa.array(top)), "score": pa.array(score[top])})
+
+        top = originals.select("qblock", "query_id", "key", "check", "embedding").groupBy("qblock").cogroup(asked.groupBy("qblock")).applyInArrow(rerank, "query_id long, key long, check long, score double")
+        # at most rerank x (k + 1) ids a query
+        each = top.join(ids, ["key", "check"]).select("query_id", "score", F.inline("ids")).where("vec_id != query_id")
+        each = each.select("query_id", "score", "vec_id", F.explode(F.array_repeat("vec_id", F.col("n"))).alias("_copy"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return each.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
     asked = rows.where(F.col("vec_id") % every == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
-    n_queries = max(1, asked.count())
-    groups = -(-n_queries // how.query_block)
-    asked = materialize(asked.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), "ann-queries")
-    salts = max(1, -(-int(how.probed * len(model.centres)) // how.blocks_a_task))
-
-    def visit(t: pa.Table) -> pa.Table:
-        q = matrix(t.column("embedding"), d)
-        lists = np.unique(kept.value.probes(q, how.probed))
-        return pa.table({"qblock": pa.array(np.full(len(lists), t.column("qblock")[0].as_py(), np.int32)), "list": pa.array(lists.astype(np.int32))})
-
-    visits = asked.groupBy("qblock").applyInArrow(visit, "qblock int, list int")
-    meets = visits.join(blocks, "list").withColumn("salt", F.pmod(F.xxhash64("list", "block"), F.lit(salts)).cast("int"))
-    salted = asked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        m, parts = kept.value, []
-        q, names = matrix(right.column("embedding"), d), right.column("query_id").to_numpy()
-        wanted = np.zeros((len(q), len(m.centres)), bool)
-        if len(q):
-            wanted[np.arange(len(q))[:, None], m.probes(q, how.probed)] = True
-        tables, coarse = m.tables(q), q @ m.centres.T
-        for no, ids, codes in zip(left.column("list").to_pylist(), left.column("ids").to_pylist(), left.column("codes").to_pylist()):
-            who = np.flatnonzero(wanted[:, no])
-            if not len(who):
-                continue
-            code = np.frombuffer(codes, np.uint8).reshape(-1, len(m.cuts))
-            score = np.repeat(coarse[who, no][:, None], len(code), 1)
-            for j, t in enumerate(tables):
-                score += t[who][:, code[:, j]]
-            parts.append((who, np.frombuffer(ids, "<i8"), score))
-        out_q, out_ids, out_scores = [], [], []
-        for i in range(len(q)):
-            own = [(ids, score[np.searchsorted(who, i)]) for who, ids, score in parts if who[min(len(who) - 1, np.searchsorted(who, i))] == i]
-            if own:
-                ids, score = np.concatenate([x[0] for x in own]), np.concatenate([x[1] for x in own])
-                ids, score = ids[ids != names[i]], score[ids != names[i]]
-                top = best(score, ids, how.rerank)
-                out_q.append(int(names[i]))
-                out_ids.append(ids[top])
-                out_scores.append(score[top])
-        near = pa.ListArray.from_arrays(
-            np.concatenate([[0], np.cumsum([len(x) for x in out_ids])]).astype(np.int32),
-            pa.StructArray.from_arrays([pa.array(-np.concatenate(out_scores, dtype=np.float32) if out_scores else np.zeros(0, np.float32)), pa.array(np.concatenate(out_ids, dtype=np.int64) if out_ids else np.zeros(0, np.int64))], ["far", "vec_id"]),
-        )
-        return pa.table({"query_id": pa.array(out_q, pa.int64()), "near": near})
-
-    found = meets.groupBy("qblock", "salt").cogroup(salted.groupBy("qblock", "salt")).applyInArrow(scan, "query_id long, near array<struct<far: float, vec_id: long>>")
-    # at most salts x rerank candidates a query
-    kept_of = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, how.rerank).alias("near"))
-    wanted = kept_of.select("query_id", F.explode(F.array_distinct(F.transform("near", lambda x: x["vec_id"]))).alias("vec_id"))
-    originals = wanted.join(rows, "vec_id").withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
-
-    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = right.column("query_id").to_numpy()
-        order = np.argsort(names)
-        q = matrix(right.column("embedding"), d).astype(np.float64)[order]
-        own = np.searchsorted(names[order], left.column("query_id").to_numpy())
-        ids, x = left.column("vec_id").to_numpy(), matrix(left.column("embedding"), d).astype(np.float64)
-        score = (x * q[own]).sum(1)
-        out = []
-        for i in range(len(q)):
-            mine = np.flatnonzero(own == i)
-            top = mine[best(score[mine], ids[mine], k)]
-            out.append((np.full(len(top), names[order][i]), np.arange(1, len(top) + 1), ids[top], score[top]))
-        cols = [np.concatenate(c) if out else np.zeros(0) for c in zip(*out)] if out else [np.zeros(0)] * 4
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "rank": pa.array(cols[1].astype(np.int32)), "vec_id": pa.array(cols[2].astype(np.int64)), "score": pa.array(cols[3].astype(np.float64))})
-
-    return originals.groupBy("qblock").cogroup(asked.groupBy("qblock")).applyInArrow(rerank, shape)
+    out = materialize(nearest(asked, how.probed), "ann-nearest")
+    full = out.where(F.col("rank") == k).select("query_id")
+    short = materialize(asked.join(full, "query_id", "left_anti"), "ann-short")
+    if how.probed >= 1 or short.isEmpty():
+        return out
+    return out.join(full, "query_id", "left_semi").union(nearest(short, 1.0)).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_ann_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:

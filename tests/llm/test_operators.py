@@ -142,6 +142,47 @@ def test_neighbours_recall(spark):
     assert hit / total >= 0.9
 
 
+def brute_neighbours(ids, x, queries, k=20):
+    """Scores (and ids) of the k best rows of each query, ties by id, rows with the query's id left out."""
+    out = {}
+    for q in queries:
+        s = (x.astype(np.float64) * x[np.flatnonzero(ids == q)[0]].astype(np.float64)).sum(1)
+        s, other = s[ids != q], ids[ids != q]
+        top = np.lexsort((other, -s))[:k]
+        out[int(q)] = list(zip(other[top].tolist(), s[top].tolist()))
+    return out
+
+
+def test_neighbours_among_large_groups_of_copies(spark):
+    rng = np.random.default_rng(7)
+    x = np.stack(pd.read_parquet(f"{SF}/embeddings.parquet").embedding).astype(np.float32)
+    x = np.concatenate([np.repeat(x[:30], 300, 0), x[30:]])
+    ids = rng.permutation(len(x))
+    queries = ids[-470:][ids[-470:] % 4 == 0]
+    got = neighbours.search(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<float>"), 4, 20).where("query_id in (%s)" % ",".join(map(str, queries)))
+    own, hit = got.toPandas().sort_values("rank").groupby("query_id").vec_id.apply(list), 0
+    for q, want in brute_neighbours(ids, x, queries).items():
+        hit += len({i for i, _ in want} & set(own[q]))
+        assert len(own[q]) == 20
+    assert hit / (20 * len(queries)) >= 0.9
+
+
+def test_neighbours_of_repeated_ids_and_thin_lists(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    x = np.concatenate([x, np.repeat(x[:1], 40, 0), np.repeat(x[1:2], 30, 0), rng.normal(size=(30, 8)).astype(np.float32)])
+    x[5, 0] = 0.0
+    ids = np.concatenate([np.arange(60), np.zeros(40, int), np.arange(100, 130), np.full(30, 7)])
+    x = np.concatenate([x, x[5:6] * np.where(np.arange(8) == 0, -1, 1).astype(np.float32)])
+    ids = np.append(ids, 200)
+    table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<float>")
+    thin, whole = (neighbours.search(table, 4, 20, neighbours.IvfPq(probed=share)).toPandas() for share in (0.01, 1.0))
+    for q, want in brute_neighbours(ids, x, [i for i in np.unique(ids) if i % 4 == 0]).items():
+        own = thin[thin.query_id == q].sort_values("rank")
+        assert own["rank"].tolist() == list(range(1, 21)) and q not in own.vec_id.tolist()
+        assert whole[whole.query_id == q].sort_values("rank").vec_id.tolist() == [i for i, _ in want]
+
+
 def test_pii(spark, docs):
     got, text = run("op7_pii_spans", spark).set_index("doc_id"), dict(zip(docs.doc_id, docs.text))
     for i, t in text.items():
