@@ -23,10 +23,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near duplicates. Rows without words or id stay."""
-    found = jaccard.groups(docs.where("doc_id is not null"))
-    gone = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that of least id, nulls last; then a hash of the row decides.
+
+    Rows are told apart, not ids: repeated rows, rows without id and rows that share an id are judged each by its text.
+    Rows without words stay.
+    """
+    rows = docs.withColumns({"_order": F.xxhash64("text", *docs.columns), "_row": F.monotonically_increasing_id()})
+    rows = materialize(rows, "pipeline-rows")  # so that a row has one number in all that follows
+    gone = jaccard.groups(rows, keep=("_order", "_row")).where("not leads").select("_row")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,8 +71,8 @@ def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node and check (fingerprints of the set; null where it is empty)."""
+def signatures(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, node and check (fingerprints of the set; null where it is empty), and the long columns ``keep``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -80,11 +80,11 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 one, two = fingerprints(hashes, at)
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, len(n)), pa.array(n), pa.array(one.view(np.int64), mask=n == 0), pa.array(two.view(np.int64), mask=n == 0)],
-                    ["doc_id", "n_shingles", "node", "check"],
+                    [batch.column("doc_id").slice(i, len(n)), pa.array(n), pa.array(one.view(np.int64), mask=n == 0), pa.array(two.view(np.int64), mask=n == 0), *(batch.column(c).slice(i, len(n)) for c in keep)],
+                    ["doc_id", "n_shingles", "node", "check", *keep],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long, check long")
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, node long, check long", *(f"{c} long" for c in keep)]))
 
 
 def fragments(docs: DataFrame, k: int, bits: int) -> DataFrame:
@@ -208,18 +208,23 @@ def _cross_pairs(placed: DataFrame, how: Join) -> DataFrame:
     return first.where(most * 100 >= (F.col("na") + F.col("nb") - most) * how.percent).select("a", "b", "na", "nb")
 
 
-def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
+def groups(docs: DataFrame, how: Join = Join(), keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs`` (doc_id, text).
 
     ``component_id`` is the smallest id that links reach, the row's own included. Null and wordless texts have empty sets and link with
     nothing; with fewer words than an n-gram the whole sequence is one. Rows with a null id take part and
     get their component's id. Repeated rows stay rows; an empty table gives no rows; other columns are
     ignored.
+
+    With ``keep``, long columns that together tell all rows apart, these are given too, and ``leads``: whether the
+    row is its component's first by id (nulls last) and ``keep``, or its set is empty.
     """
     tuned(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    signed = materialize(signatures(docs, how.words), "jaccard-signatures")
-    classes = signed.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
+    docs = docs.select("doc_id", "text", *keep)
+    signed = materialize(signatures(docs, how.words, keep), "jaccard-signatures")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *keep)
+    first = [F.min(place).alias("first")] if keep else []
+    classes = signed.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), *first)
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = max(4, int(np.ceil(np.log2(max(1, total) / how.fragment))))
     cut = fragments(docs, how.words, bits)
@@ -247,10 +252,11 @@ def groups(docs: DataFrame, how: Join = Join()) -> DataFrame:
         if not links.isEmpty():
             parts = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
     member = classes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(member.join(ids, "root").select("node", "component_id"), "jaccard-classes")
+    ids = member.groupBy("root").agg(F.min("least").alias("component_id"), *([F.min("first").alias("_first")] if keep else []))
+    named = materialize(member.join(ids, "root").select("node", "component_id", *(["_first"] if keep else [])), "jaccard-classes")
     out = signed.join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    leads = [*keep, (F.col("node").isNull() | place.eqNullSafe(F.col("_first"))).alias("leads")] if keep else []
+    return out.select("doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *leads)
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -361,3 +361,26 @@ def test_pipeline_stages(spark, docs):
     masked = p.mask_personal(spark, base, SF).collect()
     assert len(masked) == len(docs) and all(not pii.base_spans(r.text or "") and r.n_chars == len(r.text) for r in masked)
     assert neighbours is not None
+
+
+def test_pipeline_keeps_one_row_of_near_duplicates(spark):
+    import corpus_pipeline as p
+
+    text = {c: " ".join(f"{c}{k}" for k in range(60)) for c in "abcdefg"}
+    near = {c: t + f" {c}60" for c, t in text.items()}
+    rows = [
+        (1, text["a"], "x"), (1, text["a"], "x"), (1, text["a"], "y"), (2, near["a"], "x"),  # a source loaded twice, and a near copy
+        (None, text["b"], "x"), (3, text["b"], "x"), (None, near["b"], "x"),  # copies without id of a document with one
+        (None, text["c"], "x"), (None, text["c"], "x"), (None, near["c"], "x"),  # no id at all
+        (4, text["d"], "x"), (5, near["d"], "x"), (5, text["e"], "x"),  # an id shared by a near copy and a clean text
+        (6, text["f"], "x"), (6, text["g"], "x"),
+        (7, None, "x"), (7, None, "x"), (None, "", "x"), (None, " \n", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = p.keep_one_of_near(spark, docs, SF)
+    assert got.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    (third,) = [(i, t) for i, t in left if t in (text["c"], near["c"])]
+    assert third[0] is None
+    assert left == Counter([(1, text["a"]), (3, text["b"]), third, (4, text["d"]), (5, text["e"]), (6, text["f"]), (6, text["g"]), (7, None), (7, None), (None, ""), (None, " \n")])
+    assert p.keep_one_of_near(spark, docs.limit(0), SF).collect() == []
