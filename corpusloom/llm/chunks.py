@@ -17,12 +17,13 @@ _ODD = re.compile(r" (?=\s|$)")
 _CUT = re.compile(r" (?=\S)")
 
 
-def chunked(text: str) -> list[str]:
-    """The text in pieces; each but the first starts with its space."""
+def chunked(text: str, special: tuple[str, ...] = ()) -> list[str]:
+    """The text in pieces; each but the first starts with its space. No cut is made before a space that
+    precedes a ``special`` string: there the match ends with the space, together with white space before it."""
     if not text:
         return []
-    if _ODD.search(text):
-        at = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
+    if _ODD.search(text) or any(s in text for s in special):
+        at = [0, *(m.start() for m in _CUT.finditer(text) if not text.startswith(special, m.end())), len(text)]
         return [text[a:b] for a, b in zip(at, at[1:]) if a < b]
     first, *rest = text.split(" ")
     return ([first] if first else []) + [" " + x for x in rest]
@@ -53,11 +54,12 @@ def gathered(ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np
 class ChunkTable:
     """Ids of chunks seen so far in this process, at most about ``most`` chunks; then it starts anew.
 
-    ``encode`` takes chunks and returns their ids one after another with n+1 offsets.
+    ``encode`` takes chunks and returns their ids one after another with n+1 offsets. ``special`` strings,
+    which hold no white space, are ids of their own to it.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, special: tuple[str, ...] = ()):
+        self.encode, self.most, self.special = encode, most, special
         self.clear()
 
     def clear(self) -> None:
@@ -71,7 +73,7 @@ class ChunkTable:
             self.clear()
         code_of, rows, ends = self.codes.__getitem__, [], [0]
         for text in texts:
-            rows.extend(map(code_of, chunked(text)))
+            rows.extend(map(code_of, chunked(text, self.special)))
             ends.append(len(rows))
         if self.codes.new:
             ids, offsets = self.encode(self.codes.new)

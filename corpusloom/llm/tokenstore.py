@@ -145,13 +145,13 @@ def _encoder(path: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
 
     def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         return np.array([i for ids in got for i in ids], np.int32), np.concatenate([[0], np.cumsum([len(ids) for ids in got])])
 
-    return ChunkTable(encode)
+    return ChunkTable(encode, special=special)
 
 
 def _save(folder: str, name: str, data: bytes) -> None:

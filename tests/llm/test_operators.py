@@ -384,3 +384,17 @@ def test_pipeline_keeps_one_row_of_near_duplicates(spark):
     assert third[0] is None
     assert left == Counter([(1, text["a"]), (3, text["b"]), third, (4, text["d"]), (5, text["e"]), (6, text["f"]), (6, text["g"]), (7, None), (7, None), (None, ""), (None, " \n")])
     assert p.keep_one_of_near(spark, docs.limit(0), SF).collect() == []
+
+
+def test_token_store_reads_special_strings_as_the_library_does(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*(t or "" for t in ODD), "<|endoftext|>", "a  <|endoftext|> b", "x y \n <|endoftext|>  z<|endoftext|>w <|endoftext", " <|endoftext|><|endoftext|> "]
+    got = tokenstore.store_and_read(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, 2).toPandas().set_index("doc_id")
+    tok, start = Tokenizer.from_file(path), 0
+    for k, t in enumerate(texts):
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        assert (got.start[k], got.n_tokens[k], got.ids_crc32[k]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), t
+        start += len(ids)
