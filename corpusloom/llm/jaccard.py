@@ -1,15 +1,17 @@
 """N-gram Jaccard self-join of documents by vertical partitioning.
 
-A document's set holds its distinct word n-grams as 64-bit hashes. Documents with equal sets form a
-class. The n-grams are cut into fragments by hash range: each fragment sees its part of every
-class's set, finds which n-grams more than one class has, and orders them by frequency. Only
-classes whose shared n-grams reach the threshold can have a link. Candidate pairs come from the rarest
-n-grams of each (prefix filter, exact); each fragment counts a pair's partial overlap, and the
-counts are summed per pair.
-
-Only components are asked for, so the pairs of a group are not all formed. First each set of a prefix list meets
-the list's hub and its neighbours by size, then every set of the list that is in another component.
-No link is lost.
+A document's set holds its distinct word n-grams as hashes. Documents with equal sets form a
+class. N-grams are counted in parts of the hash range; those that more than one class has are put in one
+global order, rarest first, and the order is cut into fragments where the frequency doubles. A class's
+set is so cut into segments, one in a fragment. Only classes whose shared n-grams reach the threshold can
+have a link. Pairs meet in the lists of their rarest n-grams (prefix filter); the fragments' partial
+overlaps of a pair are counted apart and summed.
+
+Only components are asked for, so the pairs of a group are not all formed. In two rounds each set of a
+list meets the list's hub only; then sets of a list that are still in different components meet. Before a
+pair becomes a row, a sketch must allow its link: 512 parity bits of the n-grams. Sets that differ in few
+n-grams differ in few bits, so the number of unequal bits bounds the difference of the sets from below, and
+no link is lost.
 """
 
 from __future__ import annotations
@@ -21,23 +23,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm.components import components
 from corpusloom.llm.session import tuned
-from corpusloom.llm.wordkernel import BYTE_CODE, LOWER, SPACE, chain, mix, pieces, row_of, runs, span_hash, utf8
+from corpusloom.llm.wordkernel import BYTE_CODE, LOWER, SPACE, chain, mix, pieces, runs, span_hash, utf8
 from corpusloom.sources.tables import materialize, table
 
 
 @dataclass(frozen=True)
 class Join:
     """words: length of an n-gram. percent: links need 100 * intersection >= percent * union.
-    fragment: n-grams of one fragment, about. chain_of: length from which a list is chained in parts."""
+    part: n-grams that are counted in one group, about."""
 
     words: int = 5
     percent: int = 80
-    fragment: int = 1 << 21
-    chain_of: int = 1024
+    part: int = 1 << 20
+
 
 
 def shingle_sets(text: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -61,151 +62,243 @@ def shingle_sets(text: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield i, np.concatenate(parts) if parts else words[:0], np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 
-def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit fingerprints of each row's set."""
-    out = []
-    for salt in (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xA24BAED4963EE407)):
-        upto = np.zeros(len(hashes) + 1, np.uint64)
-        np.cumsum(mix(hashes ^ salt), out=upto[1:])
-        out.append(mix(upto[offsets[1:]] - upto[offsets[:-1]] + np.diff(offsets).astype(np.uint64)))
-    return out[0], out[1]
+def fingerprints(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each row's set: two sets of a corpus of m share one with probability m**2 / 2**65."""
+    upto = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix(hashes ^ np.uint64(0x8CB92BA72F3D8DD7)), out=upto[1:])
+    return mix(upto[offsets[1:]] - upto[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
 def signatures(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_shingles, node and check (fingerprints of the set; null where it is empty), and the long columns ``keep``."""
+    """doc_id, n_shingles, node (fingerprint of the set; null where it is empty), and the long columns ``keep``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for i, hashes, at in shingle_sets(batch.column("text"), k):
-                one, two = fingerprints(hashes, at)
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, len(n)), pa.array(n), pa.array(one.view(np.int64), mask=n == 0), pa.array(two.view(np.int64), mask=n == 0), *(batch.column(c).slice(i, len(n)) for c in keep)],
-                    ["doc_id", "n_shingles", "node", "check", *keep],
+                    [batch.column("doc_id").slice(i, len(n)), pa.array(n), pa.array(fingerprints(hashes, at), mask=n == 0), *(batch.column(c).slice(i, len(n)) for c in keep)],
+                    ["doc_id", "n_shingles", "node", *keep],
                 )
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, node long, check long", *(f"{c} long" for c in keep)]))
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(["doc_id long, n_shingles long, node long", *(f"{c} long" for c in keep)]))
+
+
+def _bytes6(x: np.ndarray) -> bytes:
+    """The low six bytes of each 64-bit number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
 
+def _from_bytes6(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
-def fragments(docs: DataFrame, k: int, bits: int) -> DataFrame:
-    """Sets cut by hash range into 2**bits fragments: one row for each fragment and batch of documents.
 
-    A batch lists each distinct set once, so copies are merged before they are shuffled.
+def _edges(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
+
+
+def parts_of_sets(docs: DataFrame, k: int, bits: int, run_of: int = 1 << 19) -> DataFrame:
+    """Sets cut by hash into 2**bits parts: one row for each part and run of documents of about ``run_of`` n-grams.
+
+    A run lists each distinct set once, so copies are merged before they are shuffled. Of a hash, the
+    ``bits`` of its part and 48 more are kept.
     """
+    cut = np.uint64(64 - bits)
+
+    def flush(nodes: list, sizes: list, held: list) -> pa.RecordBatch:
+        owner = np.repeat(np.arange(len(nodes)), [len(h) for h in held])
+        hashes = np.concatenate(held)
+        part = (hashes >> cut).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        hashes, owner, part = hashes[order], owner[order], part[order]
+        low = (hashes << np.uint64(bits)) >> np.uint64(16)
+        nodes, sizes, rows = np.array(nodes, "<i8"), np.array(sizes, "<u4"), []
+        edges = _edges(part)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            at = _edges(owner[a:b])
+            some = owner[a:b][at[:-1]]
+            rows.append({"part": int(part[a]), "nodes": nodes[some].tobytes(), "sizes": sizes[some].tobytes(), "counts": np.diff(at).astype("<u4").tobytes(), "hashes": _bytes6(low[a:b])})
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "counts", "hashes"))]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        nodes, sizes, held, total = [], [], [], 0
         for batch in parts:
-            seen: set[int] = set()
-            nodes, held, owners = [], [], []
             for _, hashes, at in shingle_sets(batch.column("text"), k):
-                names = fingerprints(hashes, at)[0].view(np.int64).tolist()
+                names = fingerprints(hashes, at).tolist()
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                     if b > a and names[r] not in seen:
                         seen.add(names[r])
-                        owners.append(np.full(b - a, len(nodes), np.uint16 if len(batch) < 65536 else np.uint32))
                         nodes.append(names[r])
+                        sizes.append(b - a)
                         held.append(hashes[a:b])
-            if not nodes:
-                continue
-            hashes, owner = np.concatenate(held), np.concatenate(owners)
-            frag = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-            order = np.argsort(frag.astype(np.uint16) if bits <= 16 else frag, kind="stable")
-            hashes, owner, frag = hashes[order], owner[order], frag[order]
-            edges = np.flatnonzero(np.concatenate([[True], frag[1:] != frag[:-1], [True]]))
-            rows = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                some, counts = np.unique(owner[a:b], return_counts=True)
-                rows.append({"frag": int(frag[a]), "nodes": np.array(nodes, np.int64)[some].tobytes(), "counts": counts.astype("<u4").tobytes(), "hashes": hashes[a:b].tobytes()})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("frag", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary())]))
-
-    return docs.select("text").mapInArrow(run, "frag int, nodes binary, counts binary, hashes binary")
-
-
-def _shared(t: pa.Table) -> pa.Table:
-    """One fragment: the n-grams that several classes have, numbered by frequency, and each class's part."""
-    nodes = np.concatenate([np.repeat(np.frombuffer(a.as_py(), "<i8"), np.frombuffer(b.as_py(), "<u4")) for a, b in zip(t.column("nodes"), t.column("counts"))])
-    hashes = np.concatenate([np.frombuffer(h.as_py(), "<u8") for h in t.column("hashes")])
-    order = np.argsort(hashes, kind="stable")
-    hashes, nodes = hashes[order], nodes[order]
-    edge = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-    many = ~edge
-    many[:-1] |= many[1:]
-    hashes, nodes, edge = hashes[many], nodes[many], edge[many]
-    group = np.cumsum(edge) - 1
-    order = np.lexsort((nodes, group))  # copies of a set from several batches count once
-    group, nodes = group[order], nodes[order]
-    once = np.concatenate([[True], (group[1:] != group[:-1]) | (nodes[1:] != nodes[:-1])]) if len(group) else np.zeros(0, bool)
-    group, nodes = group[once], nodes[once]
-    df = np.bincount(group, minlength=int(edge.sum()))
-    number = np.empty(len(df), np.int64)
-    number[np.argsort(df, kind="stable")] = np.arange(len(df))
-    ids, dfs = number[group], df[group]
-    keep = dfs > 1
-    ids, dfs, nodes = ids[keep], dfs[keep], nodes[keep]
-    order = np.lexsort((ids, nodes))
-    ids, dfs, nodes = ids[order], dfs[order], nodes[order]
-    first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]])) if len(nodes) else np.zeros(0, np.int64)
-    at = np.concatenate([first, [len(nodes)]]).astype(np.int32)
-    return pa.table({
-        "frag": pa.array(np.full(len(first), t.column("frag")[0].as_py(), np.int32)),
-        "node": pa.array(nodes[first]),
-        "ids": pa.ListArray.from_arrays(at, pa.array(ids.astype(np.int32))),
-        "dfs": pa.ListArray.from_arrays(at, pa.array(dfs.astype(np.int32))),
-    })
-
-
-def _near(one: Column, two: Column, percent: int) -> Column:
-    """Whether sets of these sizes can be as similar as asked."""
-    return F.least(one, two) * 100 >= F.greatest(one, two) * percent
-
-
-def overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps of each fragment, summed per pair."""
-    one = segments.select(F.col("node").alias("a"), "frag", F.col("ids").alias("_one"))
-    two = segments.select(F.col("node").alias("b"), "frag", F.col("ids").alias("_two"))
-    parts = pairs.join(one, "a").join(two, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_one", "_two")).alias("_part"))
-    total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("_part").alias("both"))
-    return total.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
+                        total += b - a
+                if total >= run_of:
+                    yield flush(nodes, sizes, held)
+                    seen, nodes, sizes, held, total = set(), [], [], [], 0
+        if nodes:
+            yield flush(nodes, sizes, held)
 
+    return docs.select("text").mapInArrow(run, "part int, nodes binary, sizes binary, counts binary, hashes binary")
 
-def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b, na, nb), a < b, of pairs of structs one and two (n, node, root) in different components."""
-    far = pairs.where("one.root != two.root").select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"), "one", "two")
-    size = lambda end: F.when(F.col("one.node") == F.col(end), F.col("one.n")).otherwise(F.col("two.n"))
-    return far.select("a", "b", size("a").alias("na"), size("b").alias("nb")).where(_near(F.col("na"), F.col("nb"), percent)).distinct()
 
+def _column(t: pa.Table, name: str, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
 
-def _hub_pairs(placed: DataFrame, how: Join) -> DataFrame:
-    """Each set of a list with the list's hub: the set whose n-grams are the most frequent."""
-    hubs = placed.groupBy("frag", "id").agg(F.max_by("own", F.struct("weight", "node")).alias("two"))
-    return _ordered(placed.join(hubs, ["frag", "id"]).select(F.col("own").alias("one"), "two"), how.percent)
+
+def shared_grams(sets: DataFrame, bits: int) -> DataFrame:
+    """Of each part the n-grams that several classes have, numbered by frequency; dealt to 2**bits groups of classes.
+
+    A row holds the numbers that a part has of a group's classes, and from which number on the frequency
+    is at least 2, 4, 8 and so on.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        own, sizes, counts = (np.concatenate(_column(t, c, kind)) for c, kind in (("nodes", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
+        hashes = np.concatenate([_from_bytes6(x.as_py()) for x in t.column("hashes")])
+        order = np.argsort(hashes, kind="stable")
+        hashes, at = hashes[order], np.repeat(np.arange(len(own)), counts)[order]
+        edge = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+        many = ~edge
+        many[:-1] |= many[1:]
+        at, group = at[many], np.cumsum(edge[many]) - 1
+        nodes = own[at]
+        order = np.lexsort((nodes, group))  # copies of a set from several runs count once
+        at, group, nodes = at[order], group[order], nodes[order]
+        once = np.ones(len(group), bool)
+        once[1:] = (group[1:] != group[:-1]) | (nodes[1:] != nodes[:-1])
+        at, group = at[once], group[once]
+        df = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+        rising = np.argsort(df, kind="stable")
+        number = np.empty(len(df), np.int64)
+        number[rising] = np.arange(len(df))
+        keep = df[group] > 1
+        at, ids = at[keep], number[group][keep]
+        nodes = own[at]
+        cuts = np.searchsorted(df[rising], 2 ** np.arange(1, 40)).astype("<u4").tobytes()
+        order = np.lexsort((ids, nodes.view(np.uint64)))
+        at, ids, nodes = at[order], ids[order], nodes[order]
+        bucket = (nodes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
+        rows, edges = [], _edges(bucket)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            each = _edges(nodes[a:b])
+            first = at[a:b][each[:-1]]
+            rows.append({"bucket": int(bucket[a]), "part": t.column("part")[0].as_py(), "cuts": cuts, "nodes": own[first].tobytes(), "sizes": sizes[first].tobytes(), "counts": np.diff(each).astype("<u4").tobytes(), "ids": ids[a:b].astype("<u4").tobytes()})
+        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("cuts", "nodes", "sizes", "counts", "ids"))]))
+
+    return sets.repartition(1 << bits, "part").groupBy("part").applyInArrow(run, "bucket int, part int, cuts binary, nodes binary, sizes binary, counts binary, ids binary")
+
+
+SKETCH = 8  # words of 64 parity bits
+_SET = ["node", "n", "alone", "weight", *(f"s{k}" for k in range(SKETCH))]
+SETS = "node long, n long, alone long, weight double, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", prefix array<long>, segments array<array<long>>"
+
+
+def live_sets(shared: DataFrame, percent: int) -> DataFrame:
+    """The classes that may have a link, see ``SETS``.
+
+    alone: n-grams that no other class has. An n-gram's number in the global order holds the logarithm of its
+    frequency (which is its fragment) above its part and its number there. prefix: the rarest shared n-grams, one of
+    which a linked class has among its own. s0 to s7: parity bits of the shared n-grams.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        grams, nodes, sizes = [], [], []
+        for part, cuts, own, size, counts, ids in zip(t.column("part").to_pylist(), *(_column(t, c, kind) for c, kind in (("cuts", "<u4"), ("nodes", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("ids", "<u4")))):
+            level = np.searchsorted(cuts, ids, "right").astype(np.int64)  # at least 1
+            grams.append((level << 48) | (np.int64(part) << 32) | ids)
+            nodes.append(np.repeat(own, counts))
+            sizes.append(np.repeat(size, counts))
+        grams, nodes, sizes = np.concatenate(grams), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
+        order = np.lexsort((grams, nodes))
+        grams, nodes, sizes = grams[order], nodes[order], sizes[order]
+        at = _edges(nodes)
+        held, n = np.diff(at), sizes[at[:-1]]
+        live = held * 100 >= n * percent
+        keep = np.repeat(live, held)
+        grams, held, n, names = grams[keep], held[live], n[live], nodes[at[:-1]][live]
+        m = len(n)
+        at = np.concatenate([[0], np.cumsum(held)])
+        owner = np.repeat(np.arange(m), held)
+        bit = (mix(grams.view(np.uint64)) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+        odd = (np.bincount(owner * 64 * SKETCH + bit, minlength=m * 64 * SKETCH) & 1).astype(np.uint8)
+        sketch = np.packbits(odd.reshape(m, -1), axis=1).view("<i8") if m else np.zeros((0, SKETCH), np.int64)
+        level = grams >> 48
+        weight = np.bincount(owner, 2.0**level, m) / np.maximum(n, 1)
+        alone = n - held
+        reach = n - -(-n * percent // 100) + 1 - alone
+        place = np.arange(len(grams)) - at[:-1][owner]
+        fits = place < reach[owner]
+        prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(owner[fits], minlength=m))]).astype(np.int32), pa.array(grams[fits]))
+        # segments: for each level up to a row's highest, the grams of that level
+        top = level[at[1:] - 1] if m else np.zeros(0, np.int64)
+        wide = top + 1
+        base = np.concatenate([[0], np.cumsum(wide)])
+        inner = np.concatenate([[0], np.cumsum(np.bincount(base[:-1][owner] + level, minlength=base[-1]))]).astype(np.int32)
+        segments = pa.ListArray.from_arrays(base.astype(np.int32), pa.ListArray.from_arrays(inner, pa.array(grams)))
+        columns = [pa.array(names), pa.array(n), pa.array(alone), pa.array(weight), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH)), prefix, segments]
+        return pa.Table.from_arrays(columns, [*_SET, "prefix", "segments"])
+
+    return shared.groupBy("bucket").applyInArrow(run, SETS)
+
+
+def _may_link(one: str, two: str, percent: int) -> Column:
+    """Whether the sets of two structs can be as similar as asked, by their sizes and sketches; exact: it never denies a link.
+
+    The sets differ at least in the n-grams that each has alone and in one n-gram for each unequal parity bit.
+    """
+    c = lambda side, name: F.col(f"{side}.{name}")
+    unequal = sum((F.bit_count(c(one, f"s{k}").bitwiseXOR(c(two, f"s{k}"))) for k in range(1, SKETCH)), F.bit_count(c(one, "s0").bitwiseXOR(c(two, "s0"))))
+    differ = F.greatest(unequal + c(one, "alone") + c(two, "alone"), F.abs(c(one, "n") - c(two, "n")))
+    return differ * (100 + percent) <= (c(one, "n") + c(two, "n")) * (100 - percent)
 
 
-def _chain_pairs(placed: DataFrame, how: Join) -> DataFrame:
-    """Neighbours in each list by size of set; a long list is chained in parts, and the parts' heads again."""
-    salted = placed.withColumn("_salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / how.chain_of)))
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb), a < b, of pairs of structs one and two."""
+    size = lambda end: F.when(F.col("one.node") == F.col(end), F.col("one.n")).otherwise(F.col("two.n"))
+    far = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"), "one", "two")
+    return far.select("a", "b", size("a").alias("na"), size("b").alias("nb")).distinct()
+
 
-    def linked(rows: DataFrame, *key: str) -> DataFrame:
-        return rows.select(F.col("own").alias("one"), F.lag("own").over(Window.partitionBy(*key).orderBy("own")).alias("two"))
+def _hubs(placed: DataFrame) -> DataFrame:
+    """Of each list with several sets the hub, ``two``: the set whose n-grams are the most frequent."""
+    return placed.groupBy("gram").agg(F.count("*").alias("_n"), F.max_by("one", F.struct("one.weight", "one.node")).alias("two")).where("_n > 1").drop("_n")
 
-    heads = salted.where(F.col("df") > how.chain_of).groupBy("frag", "id", "_salt").agg(F.min("own").alias("own"))
-    return _ordered(linked(salted, "frag", "id", "_salt").union(linked(heads, "frag", "id")), how.percent)
+
+def _hub_pairs(placed: DataFrame, how: Join) -> DataFrame:
+    met = placed.join(_hubs(placed), "gram")
+    return _ordered(met.where((F.col("one.root") != F.col("two.root")) & _may_link("one", "two", how.percent)))
 
 
-def _likely_pairs(placed: DataFrame, how: Join) -> DataFrame:
-    return _hub_pairs(placed, how).union(_chain_pairs(placed, how)).distinct()
+def _second_hub_pairs(placed: DataFrame, how: Join) -> DataFrame:
+    """As ``_hub_pairs``, among the sets of a list that are not in its hub's component."""
+    hubs = _hubs(placed).select("gram", F.col("two.root").alias("_root"))
+    return _hub_pairs(placed.join(hubs, "gram").where("one.root != _root").select("gram", "one"), how)
 
 
 def _cross_pairs(placed: DataFrame, how: Join) -> DataFrame:
-    """Pairs of a list that lie in different components and may still link, by the place of their first common n-gram."""
-    open_ = placed.groupBy("frag", "id").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("frag", "id")
-    rows = placed.join(open_, ["frag", "id"])
-    a = rows.select("frag", "id", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("root").alias("ra"))
-    b = rows.select("frag", "id", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("root").alias("rb"))
-    met = a.join(b, ["frag", "id"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _near(F.col("na"), F.col("nb"), how.percent))
-    first = met.groupBy("a", "b", "na", "nb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    return first.where(most * 100 >= (F.col("na") + F.col("nb") - most) * how.percent).select("a", "b", "na", "nb")
+    """All pairs of a list that lie in different components and may still link.
+
+    At least one of such a pair lies outside the component of the list's hub.
+    """
+    hubs = _hubs(placed).select("gram", F.col("two.root").alias("_root"))
+    rows = placed.join(hubs, "gram").select("gram", "one", (F.col("one.root") != F.col("_root")).alias("_out"))
+    a, b = rows.where("_out").select("gram", "one"), rows.select("gram", F.col("one").alias("two"), F.col("_out").alias("_also"))
+    cross = (F.col("one.root") != F.col("two.root")) & (~F.col("_also") | (F.col("one.node") < F.col("two.node")))
+    return _ordered(a.join(b, "gram").where(cross & _may_link("one", "two", how.percent)))
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: partial overlaps of each fragment, summed per pair."""
+    segments = sets.select("node", F.posexplode("segments").alias("frag", "grams")).where(F.size("grams") > 0)
+    one = segments.select(F.col("node").alias("a"), "frag", F.col("grams").alias("_one"))
+    two = segments.select(F.col("node").alias("b"), "frag", F.col("grams").alias("_two"))
+    parts = pairs.join(one, "a").join(two, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("_one", "_two")).alias("_part"))
+    total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("_part").alias("both"))
+    return total.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent)
 
 
 def groups(docs: DataFrame, how: Join = Join(), keep: tuple[str, ...] = ()) -> DataFrame:
@@ -226,31 +319,20 @@ def groups(docs: DataFrame, how: Join = Join(), keep: tuple[str, ...] = ()) -> D
     first = [F.min(place).alias("first")] if keep else []
     classes = signed.where("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"), *first)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    bits = max(4, int(np.ceil(np.log2(max(1, total) / how.fragment))))
-    cut = fragments(docs, how.words, bits)
-    shared = materialize(cut.groupBy("frag").applyInArrow(_shared, "frag int, node long, ids array<int>, dfs array<int>"), "jaccard-shared")
-    sums = shared.groupBy("node").agg(F.sum(F.size("ids")).alias("shared"))
-    live = sums.join(classes.select("node", "n"), "node").where(F.col("shared") * 100 >= F.col("n") * how.percent)
-    segments = materialize(shared.join(live, "node"), "jaccard-segments")
-
-    entry = F.transform(F.arrays_zip("ids", "dfs"), lambda x: F.struct(x["dfs"].alias("df"), F.col("frag").alias("frag"), x["ids"].alias("id")))
-    own = segments.groupBy("node", "n", "shared").agg(F.array_sort(F.flatten(F.collect_list(entry))).alias("_all"), (F.sum(F.aggregate("dfs", F.lit(0).cast("long"), lambda t, x: t + x)) / F.col("n")).alias("weight"))
-    prefix = F.col("n") - F.ceil(F.col("n") * how.percent / 100) + 1 - (F.col("n") - F.col("shared"))
-    listed = own.select("node", "n", "shared", "weight", F.posexplode(F.slice("_all", F.lit(1), prefix.cast("int"))).alias("_pos", "_e"))
-    postings = materialize(listed.select("node", "n", (F.col("n") - F.col("shared") + F.col("_pos")).alias("place"), "_e.df", "_e.frag", "_e.id", "weight"), "jaccard-postings")
+    bits = min(16, max(4, int(np.ceil(np.log2(max(1, total) / how.part)))))
+    shared = shared_grams(parts_of_sets(docs, how.words, bits), bits)
+    sets = materialize(live_sets(shared, how.percent), "jaccard-sets")
 
     parts = classes.select("node", F.col("node").alias("root")).limit(0)
-    tried = None
-    for step in (_likely_pairs, _cross_pairs):  # the second is exact; the first leaves it few components
-        placed = postings.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("own", F.struct("n", "node", "root"))
-        found = step(placed, how)
-        if tried is not None:
-            found = found.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(found, "jaccard-pairs")
-        links = materialize(overlaps(pairs, segments, how.percent).select("a", "b"), "jaccard-links")
-        tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        if not links.isEmpty():
-            parts = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links))
+    links = None
+    for step in (_hub_pairs, _second_hub_pairs, _cross_pairs):  # the last is exact; the others leave it few components
+        rooted = sets.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")) if links is not None else sets.withColumn("root", F.col("node"))
+        placed = rooted.select(F.explode("prefix").alias("gram"), F.struct(*_SET, "root").alias("one"))
+        pairs = materialize(step(placed, how), "jaccard-pairs")
+        new = materialize(overlaps(pairs, sets, how.percent).select("a", "b"), "jaccard-links")
+        if not new.isEmpty():
+            links = new if links is None else links.union(new)
+            parts = components(links)
     member = classes.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"), *([F.min("first").alias("_first")] if keep else []))
     named = materialize(member.join(ids, "root").select("node", "component_id", *(["_first"] if keep else [])), "jaccard-classes")

@@ -279,10 +279,25 @@ def test_jaccard_join_on_edges_of_the_threshold(spark):
             for _ in range(int(rng.integers(0, 3))):
                 own[int(rng.integers(len(own)))] = f"z{rng.integers(9)}"
             rows.append((len(rows), " ".join(own[: len(own) - int(rng.integers(0, 4))])))
-    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Join(chain_of=4)).toPandas()
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string"), jaccard.Join(part=256)).toPandas()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == brute_groups(rows)
 
 
+def test_jaccard_join_around_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    words, rows = [f"w{k}" for k in range(100)], []
+    for _ in range(260):
+        own = list(words)
+        for _ in range(int(rng.integers(0, 7))):
+            own[int(rng.integers(len(own)))] = f"z{rng.integers(400)}"
+        rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + k, None if k == 2 else "") for k in range(3)] + [(900, rows[5][1])]
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).toPandas()
+    want = brute_groups(rows)
+    assert len(set(c for _, c in want.values())) > 20
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.itertuples()} == want
+
+
 def brute_lines(text):
     words = re.findall(WORD, text)
     grams, seen, dups, covered = Counter(zip(words, words[1:], words[2:])), set(), 0, set()
