@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ class Join:
 
     words: int = 5
     percent: int = 80
-    part: int = 1 << 20
+    part: int = 1 << 21
 
 
 
@@ -100,32 +102,45 @@ def _edges(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])) if len(x) else np.zeros(1, np.int64)
 
 
+def _gaps(x: np.ndarray) -> bytes:
+    """Ascending small numbers as differences of one byte each, of two where one does not hold them."""
+    d = np.diff(x, prepend=0)
+    return d.astype(np.uint8 if d.max(initial=0) < 256 else "<u2").tobytes()
+
+
+def _from_gaps(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8 if len(data) == n else "<u2"), dtype=np.int64)
+
+
+PART = "part int, run long, gaps binary, grams binary, nodes binary, sizes binary"
+_PART = pa.schema([("part", pa.int32()), ("run", pa.int64()), *((c, pa.binary()) for c in ("gaps", "grams", "nodes", "sizes"))])
+
+
 def parts_of_sets(docs: DataFrame, k: int, bits: int, run_of: int = 1 << 19) -> DataFrame:
     """Sets cut by hash into 2**bits parts: one row for each part and run of documents of about ``run_of`` n-grams.
 
-    A run lists each distinct set once, so copies are merged before they are shuffled. Of a hash, the
-    ``bits`` of its part and 48 more are kept.
+    A run lists each distinct set once. A set is named by its place in the run; one more row of the run holds
+    the sets' fingerprints and sizes. Of a hash, the ``bits`` of its part and 48 more are kept. A task that is
+    run again must meet its documents in the same order, as a scan of files does.
     """
     cut = np.uint64(64 - bits)
 
-    def flush(nodes: list, sizes: list, held: list) -> pa.RecordBatch:
-        owner = np.repeat(np.arange(len(nodes)), [len(h) for h in held])
-        hashes = np.concatenate(held)
+    def flush(run: int, nodes: list, held: list) -> pa.RecordBatch:
+        sizes = np.array([len(h) for h in held], "<u4")
+        owner, hashes = np.repeat(np.arange(len(nodes)), sizes), np.concatenate(held)
         part = (hashes >> cut).astype(np.uint16)
         order = np.argsort(part, kind="stable")
         hashes, owner, part = hashes[order], owner[order], part[order]
         low = (hashes << np.uint64(bits)) >> np.uint64(16)
-        nodes, sizes, rows = np.array(nodes, "<i8"), np.array(sizes, "<u4"), []
         edges = _edges(part)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            at = _edges(owner[a:b])
-            some = owner[a:b][at[:-1]]
-            rows.append({"part": int(part[a]), "nodes": nodes[some].tobytes(), "sizes": sizes[some].tobytes(), "counts": np.diff(at).astype("<u4").tobytes(), "hashes": _bytes6(low[a:b])})
-        return pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), *((c, pa.binary()) for c in ("nodes", "sizes", "counts", "hashes"))]))
+        rows = [{"part": int(part[a]), "run": run, "gaps": _gaps(owner[a:b]), "grams": _bytes6(low[a:b])} for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+        rows.append({"part": run % (1 << bits), "run": run, "nodes": np.array(nodes, "<i8").tobytes(), "sizes": sizes.tobytes()})
+        return pa.RecordBatch.from_pylist(rows, _PART)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         seen: set[int] = set()
-        nodes, sizes, held, total = [], [], [], 0
+        nodes, held, total = [], [], 0
         for batch in parts:
             for _, hashes, at in shingle_sets(batch.column("text"), k):
                 names = fingerprints(hashes, at).tolist()
@@ -133,116 +148,109 @@ def parts_of_sets(docs: DataFrame, k: int, bits: int, run_of: int = 1 << 19) ->
                     if b > a and names[r] not in seen:
                         seen.add(names[r])
                         nodes.append(names[r])
-                        sizes.append(b - a)
                         held.append(hashes[a:b])
                         total += b - a
-                if total >= run_of:
-                    yield flush(nodes, sizes, held)
-                    seen, nodes, sizes, held, total = set(), [], [], [], 0
+                    if total >= run_of or len(nodes) == 1 << 16:
+                        yield flush(number, nodes, held)
+                        number, seen, nodes, held, total = number + 1, set(), [], [], 0
         if nodes:
-            yield flush(nodes, sizes, held)
+            yield flush(number, nodes, held)
 
-    return docs.select("text").mapInArrow(run, "part int, nodes binary, sizes binary, counts binary, hashes binary")
+    return docs.select("text").mapInArrow(run, PART)
 
 
-def _column(t: pa.Table, name: str, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
+#: Bits of an n-gram's number in its part; above them stands the logarithm of its frequency, 31 at most.
+NUMBER = 27
 
 
 def shared_grams(sets: DataFrame, bits: int) -> DataFrame:
-    """Of each part the n-grams that several classes have, numbered by frequency; dealt to 2**bits groups of classes.
-
-    A row holds the numbers that a part has of a group's classes, and from which number on the frequency
-    is at least 2, 4, 8 and so on.
-    """
+    """Of each part the n-grams that several sets have, numbered by rising frequency, dealt back to the runs."""
 
     def run(t: pa.Table) -> pa.Table:
-        own, sizes, counts = (np.concatenate(_column(t, c, kind)) for c, kind in (("nodes", "<i8"), ("sizes", "<u4"), ("counts", "<u4")))
-        hashes = np.concatenate([_from_bytes6(x.as_py()) for x in t.column("hashes")])
-        order = np.argsort(hashes, kind="stable")
-        hashes, at = hashes[order], np.repeat(np.arange(len(own)), counts)[order]
-        edge = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        many = ~edge
-        many[:-1] |= many[1:]
-        at, group = at[many], np.cumsum(edge[many]) - 1
-        nodes = own[at]
-        order = np.lexsort((nodes, group))  # copies of a set from several runs count once
-        at, group, nodes = at[order], group[order], nodes[order]
-        once = np.ones(len(group), bool)
-        once[1:] = (group[1:] != group[:-1]) | (nodes[1:] != nodes[:-1])
-        at, group = at[once], group[once]
-        df = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        rising = np.argsort(df, kind="stable")
-        number = np.empty(len(df), np.int64)
-        number[rising] = np.arange(len(df))
-        keep = df[group] > 1
-        at, ids = at[keep], number[group][keep]
-        nodes = own[at]
-        cuts = np.searchsorted(df[rising], 2 ** np.arange(1, 40)).astype("<u4").tobytes()
-        order = np.lexsort((ids, nodes.view(np.uint64)))
-        at, ids, nodes = at[order], ids[order], nodes[order]
-        bucket = (nodes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int32)
-        rows, edges = [], _edges(bucket)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            each = _edges(nodes[a:b])
-            first = at[a:b][each[:-1]]
-            rows.append({"bucket": int(bucket[a]), "part": t.column("part")[0].as_py(), "cuts": cuts, "nodes": own[first].tobytes(), "sizes": sizes[first].tobytes(), "counts": np.diff(each).astype("<u4").tobytes(), "ids": ids[a:b].astype("<u4").tobytes()})
-        return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("cuts", "nodes", "sizes", "counts", "ids"))]))
-
-    return sets.repartition(1 << bits, "part").groupBy("part").applyInArrow(run, "bucket int, part int, cuts binary, nodes binary, sizes binary, counts binary, ids binary")
+        told = t.filter(pc.is_valid(t.column("nodes")))
+        t = t.filter(pc.is_null(t.column("nodes")))
+        rows = told.to_pylist()
+        if len(t):
+            grams = [_from_bytes6(x.as_py()) for x in t.column("grams")]
+            size = np.array([len(g) for g in grams])
+            owner = np.concatenate([_from_gaps(x.as_py(), n) for x, n in zip(t.column("gaps"), size.tolist())])
+            row, grams = np.repeat(np.arange(len(size)), size), np.concatenate(grams)
+            order = np.argsort(grams, kind="stable")
+            grams = grams[order]
+            edge = np.ones(len(grams), bool)
+            edge[1:] = grams[1:] != grams[:-1]
+            many = ~edge
+            many[:-1] |= many[1:]
+            group, order = np.cumsum(edge[many]) - 1, order[many]
+            df = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+            rising = np.argsort(df, kind="stable")
+            number = np.empty(len(df), np.int64)
+            number[rising] = np.arange(len(df))
+            number |= np.minimum(np.log2(np.maximum(df, 1)).astype(np.int64), 31) << NUMBER
+            back = np.argsort(order, kind="stable")  # rows and owners in order again
+            row, owner, ids = row[order][back], owner[order][back], number[group][back]
+            edges, runs_, part = _edges(row), t.column("run").to_pylist(), t.column("part")[0].as_py()
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                rows.append({"part": part, "run": runs_[row[a]], "gaps": _gaps(owner[a:b]), "grams": ids[a:b].astype("<u4").tobytes()})
+        return pa.Table.from_pylist(rows, _PART)
+
+    return sets.repartition(1 << bits, "part").groupBy("part").applyInArrow(run, PART)
 
 
 SKETCH = 8  # words of 64 parity bits
-_SET = ["node", "n", "alone", "weight", *(f"s{k}" for k in range(SKETCH))]
-SETS = "node long, n long, alone long, weight double, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", prefix array<long>, segments array<array<long>>"
+_SET = ["node", "n", "alone", *(f"s{k}" for k in range(SKETCH))]
+SETS = "node long, n long, alone long, " + ", ".join(f"s{k} long" for k in range(SKETCH)) + ", weight float, prefix array<long>, segments array<array<long>>"
 
 
 def live_sets(shared: DataFrame, percent: int) -> DataFrame:
-    """The classes that may have a link, see ``SETS``.
+    """The sets that may have a link, see ``SETS``; a set comes once from each run that has it.
 
-    alone: n-grams that no other class has. An n-gram's number in the global order holds the logarithm of its
-    frequency (which is its fragment) above its part and its number there. prefix: the rarest shared n-grams, one of
-    which a linked class has among its own. s0 to s7: parity bits of the shared n-grams.
+    An n-gram's number in the global order holds the logarithm of its frequency (which is its fragment) above its
+    part and its number there. alone: n-grams that no other document has. prefix: the rarest shared n-grams; a linked
+    set has one of them in its own prefix. s0 to s7: parity bits of the shared n-grams.
     """
 
     def run(t: pa.Table) -> pa.Table:
-        grams, nodes, sizes = [], [], []
-        for part, cuts, own, size, counts, ids in zip(t.column("part").to_pylist(), *(_column(t, c, kind) for c, kind in (("cuts", "<u4"), ("nodes", "<i8"), ("sizes", "<u4"), ("counts", "<u4"), ("ids", "<u4")))):
-            level = np.searchsorted(cuts, ids, "right").astype(np.int64)  # at least 1
-            grams.append((level << 48) | (np.int64(part) << 32) | ids)
-            nodes.append(np.repeat(own, counts))
-            sizes.append(np.repeat(size, counts))
-        grams, nodes, sizes = np.concatenate(grams), np.concatenate(nodes), np.concatenate(sizes).astype(np.int64)
-        order = np.lexsort((grams, nodes))
-        grams, nodes, sizes = grams[order], nodes[order], sizes[order]
-        at = _edges(nodes)
-        held, n = np.diff(at), sizes[at[:-1]]
+        told = t.filter(pc.is_valid(t.column("nodes")))
+        t = t.filter(pc.is_null(t.column("nodes")))
+        names, n = (np.frombuffer(told.column(c)[0].as_py(), kind) for c, kind in (("nodes", "<i8"), ("sizes", "<u4")))
+        n = n.astype(np.int64)
+        grams, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, gaps, data in zip(*(t.column(c).to_pylist() for c in ("part", "gaps", "grams"))):
+            ids = np.frombuffer(data, "<u4").astype(np.int64)
+            grams.append(((ids >> NUMBER) << 48) | (part << 32) | (ids & ((1 << NUMBER) - 1)))
+            owner.append(_from_gaps(gaps, len(ids)))
+        grams, owner = np.concatenate(grams), np.concatenate(owner)
+        held = np.bincount(owner, minlength=len(n))
         live = held * 100 >= n * percent
-        keep = np.repeat(live, held)
-        grams, held, n, names = grams[keep], held[live], n[live], nodes[at[:-1]][live]
+        keep = live[owner]
+        owner, grams = (np.cumsum(live) - 1)[owner[keep]], grams[keep]
+        order = np.lexsort((grams, owner))
+        owner, grams = owner[order], grams[order]
+        held, n, names = held[live], n[live], names[live]
         m = len(n)
         at = np.concatenate([[0], np.cumsum(held)])
-        owner = np.repeat(np.arange(m), held)
-        bit = (mix(grams.view(np.uint64)) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
-        odd = (np.bincount(owner * 64 * SKETCH + bit, minlength=m * 64 * SKETCH) & 1).astype(np.uint8)
-        sketch = np.packbits(odd.reshape(m, -1), axis=1).view("<i8") if m else np.zeros((0, SKETCH), np.int64)
+        sketch = np.zeros((m, SKETCH), np.int64)
+        for a in range(0, m, 4096):
+            own = slice(at[a], at[min(m, a + 4096)])
+            bit = (owner[own] - a) * 64 * SKETCH + (mix(grams[own].view(np.uint64)) & np.uint64(64 * SKETCH - 1)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=min(4096, m - a) * 64 * SKETCH) & 1).astype(np.uint8)
+            sketch[a : a + 4096] = np.packbits(odd.reshape(-1, 64 * SKETCH), axis=1).view("<i8")
         level = grams >> 48
         weight = np.bincount(owner, 2.0**level, m) / np.maximum(n, 1)
         alone = n - held
         reach = n - -(-n * percent // 100) + 1 - alone
-        place = np.arange(len(grams)) - at[:-1][owner]
-        fits = place < reach[owner]
+        fits = np.arange(len(grams)) - at[:-1][owner] < reach[owner]
         prefix = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(owner[fits], minlength=m))]).astype(np.int32), pa.array(grams[fits]))
-        # segments: for each level up to a row's highest, the grams of that level
-        top = level[at[1:] - 1] if m else np.zeros(0, np.int64)
-        wide = top + 1
+        # segments: for each level up to a row's highest, the n-grams of that level
+        wide = (level[at[1:] - 1] if m else np.zeros(0, np.int64)) + 1
         base = np.concatenate([[0], np.cumsum(wide)])
         inner = np.concatenate([[0], np.cumsum(np.bincount(base[:-1][owner] + level, minlength=base[-1]))]).astype(np.int32)
         segments = pa.ListArray.from_arrays(base.astype(np.int32), pa.ListArray.from_arrays(inner, pa.array(grams)))
-        columns = [pa.array(names), pa.array(n), pa.array(alone), pa.array(weight), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH)), prefix, segments]
-        return pa.Table.from_arrays(columns, [*_SET, "prefix", "segments"])
+        columns = [pa.array(names), pa.array(n), pa.array(alone), *(pa.array(np.ascontiguousarray(sketch[:, k])) for k in range(SKETCH)), pa.array(weight.astype(np.float32)), prefix, segments]
+        return pa.Table.from_arrays(columns, [*_SET, "weight", "prefix", "segments"])
 
-    return shared.groupBy("bucket").applyInArrow(run, SETS)
+    return shared.groupBy("run").applyInArrow(run, SETS)
 
 
 def _may_link(one: str, two: str, percent: int) -> Column:
@@ -256,7 +264,7 @@ def _may_link(one: str, two: str, percent: int) -> Column:
     return differ * (100 + percent) <= (c(one, "n") + c(two, "n")) * (100 - percent)
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
+def _sized(pairs: DataFrame) -> DataFrame:
     """Distinct (a, b, na, nb), a < b, of pairs of structs one and two."""
     size = lambda end: F.when(F.col("one.node") == F.col(end), F.col("one.n")).otherwise(F.col("two.n"))
     far = pairs.select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"), "one", "two")
@@ -264,31 +272,36 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _hubs(placed: DataFrame) -> DataFrame:
-    """Of each list with several sets the hub, ``two``: the set whose n-grams are the most frequent."""
-    return placed.groupBy("gram").agg(F.count("*").alias("_n"), F.max_by("one", F.struct("one.weight", "one.node")).alias("two")).where("_n > 1").drop("_n")
+    """Of each list with sets of several components the hub, ``two``: the set whose n-grams are the most frequent."""
+    ends = [F.min("one.root").alias("_lo"), F.max("one.root").alias("_hi")]
+    return placed.groupBy("gram").agg(F.max("one").alias("two"), *ends).where("_lo < _hi").select("gram", "two")
 
 
-def _hub_pairs(placed: DataFrame, how: Join) -> DataFrame:
-    met = placed.join(_hubs(placed), "gram")
-    return _ordered(met.where((F.col("one.root") != F.col("two.root")) & _may_link("one", "two", how.percent)))
+def _hub_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each set of a list with the list's hub, a row for each list; equal pairs are merged before sketches are read."""
+    met = placed.join(_hubs(placed), "gram").where("one.root != two.root").select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
+    own = sets.select("node", F.struct(*_SET).alias("_own"))
+    met = met.join(own.select(F.col("node").alias("a"), F.col("_own").alias("one")), "a").join(own.select(F.col("node").alias("b"), F.col("_own").alias("two")), "b")
+    return _sized(met.where(_may_link("one", "two", percent)))
 
 
-def _second_hub_pairs(placed: DataFrame, how: Join) -> DataFrame:
+def _second_hub_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """As ``_hub_pairs``, among the sets of a list that are not in its hub's component."""
     hubs = _hubs(placed).select("gram", F.col("two.root").alias("_root"))
-    return _hub_pairs(placed.join(hubs, "gram").where("one.root != _root").select("gram", "one"), how)
+    return _hub_pairs(placed.join(hubs, "gram").where("one.root != _root").select("gram", "one"), sets, percent)
 
 
-def _cross_pairs(placed: DataFrame, how: Join) -> DataFrame:
+def _cross_pairs(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs of a list that lie in different components and may still link.
 
     At least one of such a pair lies outside the component of the list's hub.
     """
     hubs = _hubs(placed).select("gram", F.col("two.root").alias("_root"))
-    rows = placed.join(hubs, "gram").select("gram", "one", (F.col("one.root") != F.col("_root")).alias("_out"))
-    a, b = rows.where("_out").select("gram", "one"), rows.select("gram", F.col("one").alias("two"), F.col("_out").alias("_also"))
-    cross = (F.col("one.root") != F.col("two.root")) & (~F.col("_also") | (F.col("one.node") < F.col("two.node")))
-    return _ordered(a.join(b, "gram").where(cross & _may_link("one", "two", how.percent)))
+    rows = placed.join(hubs, "gram").select("gram", "one.node", "one.root", (F.col("one.root") != F.col("_root")).alias("out"))
+    rows = rows.join(sets.select(*_SET), "node").select("gram", F.struct(*_SET, "root", "out").alias("one"))
+    a, b = rows.where("one.out"), rows.select("gram", F.col("one").alias("two"))
+    cross = (F.col("one.root") != F.col("two.root")) & (~F.col("two.out") | (F.col("one.node") < F.col("two.node")))
+    return _sized(a.join(b, "gram").where(cross & _may_link("one", "two", percent)))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -321,14 +334,14 @@ def groups(docs: DataFrame, how: Join = Join(), keep: tuple[str, ...] = ()) -> D
     total = classes.agg(F.sum("n")).first()[0] or 0
     bits = min(16, max(4, int(np.ceil(np.log2(max(1, total) / how.part)))))
     shared = shared_grams(parts_of_sets(docs, how.words, bits), bits)
-    sets = materialize(live_sets(shared, how.percent), "jaccard-sets")
+    sets = materialize(live_sets(shared, how.percent).dropDuplicates(["node"]), "jaccard-sets")
 
     parts = classes.select("node", F.col("node").alias("root")).limit(0)
     links = None
     for step in (_hub_pairs, _second_hub_pairs, _cross_pairs):  # the last is exact; the others leave it few components
         rooted = sets.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node")) if links is not None else sets.withColumn("root", F.col("node"))
-        placed = rooted.select(F.explode("prefix").alias("gram"), F.struct(*_SET, "root").alias("one"))
-        pairs = materialize(step(placed, how), "jaccard-pairs")
+        placed = rooted.select(F.explode("prefix").alias("gram"), F.struct("weight", "node", "root").alias("one"))
+        pairs = materialize(step(placed, sets, how.percent), "jaccard-pairs")
         new = materialize(overlaps(pairs, sets, how.percent).select("a", "b"), "jaccard-links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
