@@ -82,7 +82,6 @@ def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got, start = run("op3_token_store", spark).set_index("doc_id"), 0
     for d in docs.sort_values("doc_id").itertuples():
         ids = tok.encode(d.text or "", add_special_tokens=False).ids + [2]
@@ -91,7 +90,10 @@ def test_token_store(spark, docs):
         start += len(ids)
     ids = np.random.default_rng(1).integers(0, 300, 5000)
     wm = tokenstore.WaveletMatrix.build(ids)
-    assert wm.decode().tolist() == ids.tolist()
+    assert wm.decode().tolist() == ids.tolist() == wm.access(np.arange(5000)).tolist()
+    wide = np.random.default_rng(1).integers(0, 1 << 20, 500)
+    assert tokenstore.WaveletMatrix.build(wide).decode().tolist() == wide.tolist()
+    assert tokenstore.WaveletMatrix.build(wide[:0]).decode().tolist() == []
     for v in (0, 7, 299, 4000):
         at = np.flatnonzero(ids == v)
         assert wm.count(v) == len(at) and wm.count(v, 100, 900) == ((at >= 100) & (at < 900)).sum()
