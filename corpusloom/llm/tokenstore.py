@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.chunks import ChunkTable, batches, gathered
+from corpusloom.llm.chunks import SpanTable
 from corpusloom.llm.session import tuned
+from corpusloom.llm.wordkernel import pieces, utf8
 from corpusloom.sources.tables import fresh_path, materialize, table
 
 MAGIC = b"CLWM0001"
@@ -149,7 +150,7 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> ChunkTable:
+def _encoder(path: str) -> SpanTable:
     """The tokenizers library's encoder for one worker process; chunks met before are not encoded again."""
     from tokenizers import Tokenizer
 
@@ -164,30 +165,18 @@ def _encoder(path: str) -> ChunkTable:
         got = [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         return np.concatenate(got), np.concatenate([[0], np.cumsum([len(ids) for ids in got])])
 
-    def together(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def together(chunks: bytes, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Chunks that start with their space: encoded ``TOGETHER`` at a time, then cut where the tokens' bytes reach a chunk's end."""
-        joined = ["".join(chunks[k : k + TOGETHER]) for k in range(0, len(chunks), TOGETHER)]
+        cuts = [*upto[:-1:TOGETHER].tolist(), len(chunks)]
+        joined = [chunks[a:b].decode() for a, b in zip(cuts, cuts[1:])]
         ids = np.concatenate([np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
-        upto = np.concatenate([[0], np.cumsum(length[ids])])
-        ends = np.concatenate([[0], np.cumsum([len(c.encode()) for c in chunks])])
-        at = np.searchsorted(upto, ends)
-        if not np.array_equal(upto[np.minimum(at, len(ids))], ends):  # a token's bytes are not as said above
-            return apart(chunks)
+        reached = np.concatenate([[0], np.cumsum(length[ids])])
+        at = np.searchsorted(reached, upto)
+        if not np.array_equal(reached[np.minimum(at, len(ids))], upto):  # a token's bytes are not as said above
+            return apart([chunks[a:b].decode() for a, b in zip(upto.tolist(), upto[1:].tolist())])
         return ids, at
 
-    def encode(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        spaced = [k for k, c in enumerate(chunks) if c[0] == " " and len(c) > 1 and not c[1].isspace()]
-        other = sorted(set(range(len(chunks))).difference(spaced))
-        parts = [(own, way) for own, way in ((spaced, together), (other, apart)) if own]
-        flat, sizes = [], []
-        for own, way in parts:
-            ids, at = way([chunks[k] for k in own])
-            flat.append(ids)
-            sizes.append(np.diff(at))
-        place = np.argsort([k for own, _ in parts for k in own])
-        return gathered(np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), place)
-
-    return ChunkTable(encode, special=tuple(added.values()))
+    return SpanTable(apart, together, special=tuple(added.values()))
 
 
 def _save(folder: str, name: str, data: bytes) -> None:
@@ -225,9 +214,9 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
             held, owners, sizes, total, shard = [], [], [], 0, shard + 1
 
         for batch in parts:
-            ids_of, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i, j in batches(texts):
-                ids, at = table_.encode_texts(texts[i:j])
+            ids_of, (data, offsets) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
+            for i, j in pieces(offsets):
+                ids, at = table_.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = np.insert(ids, at[1:], end_id)
                 at = at + np.arange(j - i + 1)
                 first = 0
