@@ -112,7 +112,7 @@ class SpanTable:
     another with n+1 offsets. Where a space may precede white space or a ``special`` string no cut is made.
     """
 
-    def __init__(self, apart: Callable, together: Callable, most: int = 400_000, special: tuple[str, ...] = ()):
+    def __init__(self, apart: Callable, together: Callable, most: int = 1_000_000, special: tuple[str, ...] = ()):
         self.apart, self.together, self.most = apart, together, most
         self.shift = np.uint64(64 - (int(2.5 * most).bit_length()))
         self.blank = _BLANK.copy()
@@ -122,7 +122,18 @@ class SpanTable:
     def clear(self) -> None:
         size = 1 << (64 - int(self.shift))
         self.keys, self.heads, self.vals = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.zeros(size, np.int32)
-        self.ids, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.ids, self.offsets, self.n = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append chunks to the table; its arrays grow by doubling."""
+        used = int(self.offsets[self.n])
+        if used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)])
+        if self.n + len(sizes) >= len(self.offsets):
+            self.offsets = np.concatenate([self.offsets[: self.n + 1], np.zeros(self.n + 2 * len(sizes), np.int64)])
+        self.ids[used : used + len(ids)] = ids
+        self.offsets[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
 
     def _find(self, key: np.ndarray, head: np.ndarray) -> np.ndarray:
         """The chunk's number, or -1."""
@@ -168,7 +179,7 @@ class SpanTable:
         eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))[starts]
         short = np.uint64(8) * (np.uint64(8) - np.minimum(size, 8).astype(np.uint64))
         head = ((eight << short) >> short) ^ (size.astype(np.uint64) << np.uint64(40))
-        if len(self.offsets) > self.most:
+        if self.n > self.most:
             self.clear()
         code = self._find(key, head)
         new = np.flatnonzero(code < 0)
@@ -179,7 +190,7 @@ class SpanTable:
             fresh = order[edge]
             joined = opens[starts[fresh]]
             fresh, joined = np.concatenate([fresh[joined], fresh[~joined]]), int(joined.sum())
-            base, flat, sizes = len(self.offsets) - 1, [], []
+            base, flat, sizes = self.n, [], []
             if joined:
                 own, upto = gathered(data, np.append(starts, len(data)), fresh[:joined])
                 ids, at = self.together(own.tobytes(), upto)
@@ -191,9 +202,8 @@ class SpanTable:
                 flat.append(ids)
                 sizes.append(np.diff(at))
             number = base + np.arange(len(fresh))
-            self.ids = np.concatenate([self.ids, *flat]).astype(np.int32)
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(sizes))])
-            if len(self.offsets) * 2 > len(self.keys):  # one batch of very many chunks: they are not kept
+            self._keep(np.concatenate(flat), np.concatenate(sizes))
+            if self.n * 2 > len(self.keys):  # one batch of very many chunks: they are not kept
                 self.keys[:] = 0
             else:
                 self._put(key[fresh], head[fresh], number)

@@ -215,7 +215,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
 
         for batch in parts:
             ids_of, (data, offsets) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, 1 << 20):
                 ids, at = table_.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids = np.insert(ids, at[1:], end_id)
                 at = at + np.arange(j - i + 1)
