@@ -18,8 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chunks import ChunkTable, Codes, batches, gathered
-from corpusloom.llm.session import tuned
+from corpusloom.llm.chunks import ChunkTable, Codes, gathered, text_runs
 from corpusloom.sources.tables import table
 
 #: Longer pretokens would make matrices too wide; they use one row at a time, by linked list and heap.
@@ -207,9 +206,9 @@ def digested(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf(f"struct<{DIGEST.replace(' long', ': long').replace(' string', ': string')}>")
     def run(column: pa.Array) -> pa.Array:
-        bpe, texts, out = coder(path, pattern), [t or "" for t in column.to_pylist()], []
-        for i, j in batches(texts):
-            ids, at = bpe.encode(texts[i:j])
+        bpe, out = coder(path, pattern), []
+        for texts in text_runs(column):
+            ids, at = bpe.encode(texts)
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 own = ids[a:b]
                 out.append((b - a, hashlib.sha256(",".join(map(str, own.tolist())).encode()).hexdigest(), hashlib.sha256(bpe.decode(own)).hexdigest()))
@@ -223,10 +222,10 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def run(column: pa.Array) -> pa.Array:
-        bpe, texts = coder(path, pattern), [t or "" for t in column.to_pylist()]
+        bpe = coder(path, pattern)
         parts, ends, base = [], [np.zeros(1, np.int64)], 0
-        for i, j in batches(texts):
-            ids, at = bpe.encode(texts[i:j])
+        for texts in text_runs(column):
+            ids, at = bpe.encode(texts)
             parts.append(ids)
             ends.append(at[1:] + base)
             base += len(ids)
@@ -252,7 +251,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     A null text counts as empty: no ids, the digests of nothing. Repeated rows are kept, an empty
     table gives no rows, other columns are ignored, texts of any length are encoded whole.
     """
-    tuned(docs.sparkSession)
     return docs.select("doc_id", digested(F.col("text"), path, pattern).alias("_d")).select("doc_id", "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
 
 

@@ -8,9 +8,10 @@ encoded alone; chunks repeat far more often than texts, so their ids are kept in
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from corpusloom.llm.wordkernel import BYTE_CODE, span_hash
 
@@ -86,17 +87,18 @@ class ChunkTable:
         return flat, upto[np.array(ends, np.int64)]
 
 
-def batches(texts: list[str], chars: int = 1 << 20) -> list[tuple[int, int]]:
-    """Runs [i, j) of texts of about ``chars`` characters together."""
-    out, i, n = [], 0, 0
-    for k, t in enumerate(texts):
-        n += len(t)
-        if n >= chars:
-            out.append((i, k + 1))
-            i, n = k + 1, 0
-    if i < len(texts):
-        out.append((i, len(texts)))
-    return out
+def text_runs(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
+    """The texts of a column, null as the empty text, some rows at a time and of long texts fewer."""
+    for i in range(0, len(column), rows):
+        texts, n = [], 0
+        for t in column.slice(i, rows).to_pylist():
+            texts.append(t or "")
+            n += len(texts[-1])
+            if n >= 1 << 20:
+                yield texts
+                texts, n = [], 0
+        if texts:
+            yield texts
 
 
 #: Bytes that may begin white space of the pattern, and lead bytes of characters among which white space is.

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.session import tuned
+from corpusloom.llm.session import small
 from corpusloom.llm.wordkernel import BYTE_CODE, LOWER, SPACE, chain, mix, pieces, runs, span_hash, utf8
 from corpusloom.sources.tables import materialize, table
 
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, k: int, keep: tuple[str, ...] = ()) -> DataFrame
     """doc_id, n_shingles, node (fingerprint of the set; null where it is empty), and the long columns ``keep``."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             for i, hashes, at in shingle_sets(batch.column("text"), k):
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
@@ -141,7 +141,7 @@ def parts_of_sets(docs: DataFrame, k: int, bits: int, run_of: int = 1 << 19) ->
         number = TaskContext.get().partitionId() << 32
         seen: set[int] = set()
         nodes, held, total = [], [], 0
-        for batch in parts:
+        for batch in small(parts):
             for _, hashes, at in shingle_sets(batch.column("text"), k):
                 names = fingerprints(hashes, at).tolist()
                 for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
@@ -325,7 +325,6 @@ def groups(docs: DataFrame, how: Join = Join(), keep: tuple[str, ...] = ()) -> D
     With ``keep``, long columns that together tell all rows apart, these are given too, and ``leads``: whether the
     row is its component's first by id (nulls last) and ``keep``, or its set is empty.
     """
-    tuned(docs.sparkSession)
     docs = docs.select("doc_id", "text", *keep)
     signed = materialize(signatures(docs, how.words, keep), "jaccard-signatures")
     place = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", *keep)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.session import id_fold, tuned
+from corpusloom.llm.session import id_fold, small
 from corpusloom.llm.wordkernel import utf8
 from corpusloom.sources.tables import table
 
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, fit: Fit = Fit(), folds: int = 4, held: int = 2) -> N
     sample = docs.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id").where("text is not null and lang = _lang")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             data, offsets = utf8(batch.column("_low"))
             starts, ends, row = windows(data, offsets, fit)
             first = np.searchsorted(row, np.arange(len(batch)))
@@ -168,7 +168,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     Null texts and texts without a letter get ``und`` and score 0, as does everything without a
     network. Whole texts of any length count; an empty table gives no rows; other columns are ignored.
     """
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     rows = docs.select("doc_id", F.lower("text").alias("_low"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
@@ -176,7 +176,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in parts:
+        for batch in small(parts):
             data, offsets = utf8(batch.column("_low"))
             starts, ends, row = windows(data, offsets, model.fit)
             total, size = np.zeros((len(batch), len(model.langs))), np.maximum(ends - starts, 1)

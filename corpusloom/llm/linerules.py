@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.session import labelled_sample, tuned
+from corpusloom.llm.session import labelled_sample, small
 from corpusloom.llm.wordkernel import BYTE_CODE, SPACE, chain, pieces, row_of, runs, span_hash, utf8
 from corpusloom.sources.tables import table
 
@@ -209,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Field | None:
     sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", 1, -1, fit.rows)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             data, offsets = utf8(batch.column("text"))
             good = batch.column("_label").to_pylist()
             for i, j in pieces(offsets):
@@ -239,11 +239,11 @@ def judge(docs: DataFrame, field: Field | None, fit: Fit = Fit()) -> DataFrame:
     Texts are read whole. A null text has no words and fails, as does an empty one. Equal rows stay
     rows of their own; an empty table gives no rows; other columns are ignored.
     """
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(field)  # about forty numbers
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             data, offsets = utf8(batch.column("text"))
             for i, j in pieces(offsets):
                 got = scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

@@ -12,15 +12,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.session import row_key, tuned
+from corpusloom.llm.session import row_key
+from corpusloom.llm.wordkernel import SPACE, pieces, row_of, runs, utf8
 from corpusloom.sources.tables import materialize, table
 
-WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -37,10 +38,16 @@ class Mix:
     seed: int = 11
 
 
-def n_words(text: Column) -> Column:
+@F.arrow_udf(T.LongType())
+def n_words(text: pa.Array) -> pa.Array:
     """Number of runs of bytes other than ASCII white space; null has none."""
-    spaced = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.when(spaced == "", F.lit(0)).otherwise(F.length(spaced) - F.length(F.replace(spaced, F.lit(" "))) + 1).cast("long")
+    data, offsets = utf8(text)
+    out = [np.zeros(0, np.int64)]
+    for i, j in pieces(offsets):
+        at = offsets[i : j + 1] - offsets[i]
+        starts, _ = runs(~SPACE[data[offsets[i] : offsets[j]]], at)
+        out.append(np.bincount(row_of(starts, at), minlength=j - i))
+    return pa.array(np.concatenate(out))
 
 
 def targets(sizes: list[int], weights: list[float], repeats: int) -> list[float]:
@@ -107,23 +114,20 @@ def permuted(draw: pd.Series, n: pd.Series, source: pd.Series, seed: pd.Series)
         return pd.Series(_feistel(d % m, m, key))
 
 
-def lay_out(docs: DataFrame, how: Mix, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``docs`` with size, and each row's place in its source's stream.
+def lay_out(rows: DataFrame, how: Mix) -> DataFrame:
+    """``rows`` (doc_id, source, size, _tie, and _all and _id if they have them, which break ties) with their place in their source's stream, _start.
 
     A source's rows are spread over ``how.buckets`` buckets by hash; the stream runs through the
     buckets in order. So the running sum needs one window per bucket and one over bucket sums.
     """
-    extra = (["text"] if "text" in docs.columns else []) + [f"_keep_{c}" for c in keep]
-    ties = [c for c in ("_tie", "text") if c in docs.columns]
-    rows = docs.withColumn("_bucket", F.pmod(row_key("doc_id", *ties), F.lit(how.buckets)).cast("int"))
-    within = Window.partitionBy("source", "_bucket").orderBy("doc_id", "size", *ties)
+    rows = rows.withColumn("_bucket", F.pmod(row_key("doc_id", "_tie"), F.lit(how.buckets)).cast("int"))
+    within = Window.partitionBy("source", "_bucket").orderBy("doc_id", "size", "_tie", *[c for c in ("_all", "_id") if c in rows.columns])
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("source", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
+    base = sums.select(F.col("source").alias("_of"), F.col("_bucket").alias("_in"), F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_base"))
     rows = rows.withColumn("_upto", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_nth", F.row_number().over(within))
-    joined = rows.alias("r").join(base.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r._bucket") == F.col("b._bucket")))
-    start = F.col("_base") + F.col("_upto") - F.col("size")
-    return joined.select("r.doc_id", "r.source", "r.size", "r._bucket", "r._nth", start.alias("_start"), *[f"r.{c}" for c in extra])
+    joined = rows.join(base, F.col("source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_in")))
+    return joined.withColumn("_start", F.col("_base") + F.col("_upto") - F.col("size")).drop("_of", "_in", "_base", "_upto", "_tie")
 
 
 def source_plan(sized: DataFrame, weights: tuple[float, ...], how: Mix) -> tuple[DataFrame, DataFrame]:
@@ -147,9 +151,10 @@ def source_plan(sized: DataFrame, weights: tuple[float, ...], how: Mix) -> tuple
 
 
 def slots_of(counts: DataFrame, how: Mix) -> DataFrame:
-    """One row per slot of the mix: out_shard, source_no, draw, block."""
+    """One row per slot of the mix: out_shard, source_no, draw, block. ``counts`` has a row per output shard and source."""
     per = 4096
-    runs = counts.withColumn("_run", F.explode(F.sequence(F.lit(0), ((F.col("n_draws") - 1) / per).cast("long")))).repartition("out_shard", "source_no", "_run")
+    total = counts.agg(F.sum("n_draws")).first()[0] or 0
+    runs = counts.withColumn("_run", F.explode(F.sequence(F.lit(0), ((F.col("n_draws") - 1) / per).cast("long")))).repartition(max(8, -(-total // (8 * per))), "out_shard", "source_no", "_run")
     ends = F.least(F.col("n_draws"), (F.col("_run") + 1) * per) - 1
     draws = runs.withColumn("_k", F.explode(F.sequence(F.col("_run") * per, ends))).withColumn("draw", F.col("_k") + F.col("first_draw"))
     return draws.select("out_shard", "source_no", "draw", permuted("draw", "n_blocks", F.col("source_no").cast("long"), F.lit(how.seed)).alias("block"))
@@ -176,7 +181,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix()
     are equal stay separate rows; a null source is a source of its own, last. An empty table gives
     no rows. Other columns are ignored.
     """
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_tie"))
     sized = materialize(slim, "mix-sizes")
     if sized.isEmpty():
@@ -186,7 +191,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix()
     drawn = slots_of(counts, how).groupBy("source_no", "block").agg(F.count("*").alias("times"))
     words = F.coalesce(F.col("times") * (F.col("to_word") - F.col("from_word")), F.lit(0))
     key = ["source_no", "_bucket", "_nth", "doc_id", "source", "size", "source_size", "target"]
-    return parts.join(drawn, ["source_no", "block"], "left").groupBy(*key).agg(F.sum(words).alias("taken")).drop("source_no", "_bucket", "_nth")
+    return parts.join(drawn.hint("shuffle_hash"), ["source_no", "block"], "left").groupBy(*key).agg(F.sum(words).alias("taken")).drop("source_no", "_bucket", "_nth")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("text", T.StringType())])))
@@ -215,28 +220,31 @@ def slices(text: pd.Series, start: pd.Series, size: pd.Series, block: pd.Series)
     return pd.Series(out)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix(), keep: tuple[str, ...] = ()) -> DataFrame:
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix(), keep: tuple[str, ...] = (), slot: str = "slot") -> DataFrame:
     """The mix itself: one row per drawn block and document in it, with the columns ``keep`` of the document.
 
-    Returns out_shard, draw, source_no, block, doc_id, source and text, the slice of the document
-    that lies in the block; a block drawn k times gives its slices k times. Documents without words
-    give no row. An empty table gives no rows. Columns other than doc_id, text, source and ``keep`` are ignored.
+    Returns doc_id, source, text (the slice of the document that lies in the block), ``keep``, and a struct named
+    ``slot`` of out_shard, draw, source_no and block; a block drawn k times gives its slices k times. Documents without
+    words give no row. An empty table gives no rows. Columns other than doc_id, text, source and ``keep`` are ignored;
+    a kept column may have any name but these three and ``slot``.
+
+    The stream is laid out without texts; these are then joined once to their places and once to the slots.
     """
-    spark = tuned(docs.sparkSession)
-    sized = docs.select("doc_id", "source", "text", n_words(F.col("text")).alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    kept = sized.where("size > 0")
-    shape = "out_shard int, draw long, source_no int, block long, doc_id long, source string, text string"
-    sums = kept.select("source", "size")
-    if kept.isEmpty():
-        return spark.createDataFrame([], shape).select("*", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keep])
-    sources, counts = source_plan(sums, weights, how)
-    placed = lay_out(kept, how, keep)
-    kept_names = [f"_keep_{c}" for c in keep]
-    numbered = placed.join(F.broadcast(sources), placed["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    parts = numbered.select("doc_id", "source", "source_no", *kept_names, F.explode(slices("text", "_start", "size", F.lit(how.block))).alias("_p")).select("doc_id", "source", "source_no", *kept_names, "_p.block", "_p.text")
-    slots = slots_of(counts, how)
-    chosen = parts.join(slots, ["source_no", "block"])
-    return chosen.select("out_shard", "draw", "source_no", "block", "doc_id", "source", "text", *[F.col(f"_keep_{c}").alias(c) for c in keep])
+    spark, names = docs.sparkSession, [f"_keep_{k}" for k in range(len(keep))]
+    rows = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names)])
+    rows = rows.withColumn("size", n_words("text")).where("size > 0").withColumns({"_tie": F.xxhash64("text"), "_all": F.xxhash64("text", *names), "_id": F.monotonically_increasing_id()})
+    rows = materialize(rows, "mix-rows")  # so that a row has one number in all that follows
+    slim = rows.select("doc_id", "source", "size", "_tie", "_all", "_id")
+    sources, counts = source_plan(slim, weights, how)
+    kept = [F.col(n).alias(c) for c, n in zip(keep, names)]
+    if not sources.take(1):
+        place = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in (("out_shard", "int"), ("draw", "long"), ("source_no", "int"), ("block", "long"))])
+        return rows.select("doc_id", "source", "text", *kept, place.alias(slot))
+    placed = lay_out(slim, how).join(F.broadcast(sources.withColumnRenamed("source", "_of")), F.col("source").eqNullSafe(F.col("_of")))  # a row per source
+    told = rows.drop("size", "_tie", "_all", "doc_id", "source").join(placed.select("_id", "doc_id", "source", "size", "_start", "source_no").hint("shuffle_hash"), "_id")
+    parts = told.select("doc_id", "source", "source_no", *names, F.explode(slices("text", "_start", "size", F.lit(how.block))).alias("_p")).select("doc_id", "source", "source_no", *names, "_p.block", "_p.text")
+    chosen = parts.join(slots_of(counts, how).hint("shuffle_hash"), ["source_no", "block"])
+    return chosen.select("doc_id", "source", "text", *kept, F.struct("out_shard", "draw", "source_no", "block").alias(slot))
 
 
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

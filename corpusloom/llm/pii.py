@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.session import row_key, tuned
+from corpusloom.llm.session import row_key, small
 from corpusloom.sources.tables import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -279,8 +279,8 @@ class Tagger:
         live = possible(flat, np.maximum(starts - REACH, offsets[row]), np.minimum(starts + fit.window + REACH, offsets[row + 1]))
         row, k, starts = row[live], k[live], starts[live]
         out = np.zeros(len(flat), np.int8)
-        for a in range(0, len(row), 4096):
-            b = min(a + 4096, len(row))
+        for a in range(0, len(row), 1024):
+            b = min(a + 1024, len(row))
             at = starts[a:b] + np.arange(fit.window)[:, None]
             inside = at < offsets[row[a:b] + 1]
             tags = self.decode(np.where(inside, flat[np.minimum(at, len(flat) - 1)], 0))
@@ -384,11 +384,11 @@ def find(docs: DataFrame, net: Tagger | None) -> DataFrame:
     Texts are searched whole, null as the empty text. Offsets are code points, ends exclusive. Equal
     rows stay rows of their own; an empty table gives no rows; other columns are ignored.
     """
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(net)  # tens of KB
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
             for i, j in _groups(texts):
                 found = all_spans(texts[i:j], held.value)
@@ -405,11 +405,11 @@ def redacted(docs: DataFrame, net: Tagger | None) -> DataFrame:
 
     A null text stays null; all other columns stay as they are.
     """
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(net)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             place = batch.schema.get_field_index("text")
             texts = batch.column(place).to_pylist()
             out: list[str | None] = []

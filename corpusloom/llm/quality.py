@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.llm.session import id_fold, labelled_sample, tuned
+from corpusloom.llm.session import id_fold, labelled_sample, small
 from corpusloom.llm.wordkernel import BYTE_CODE, LOWER, SPACE, pieces, row_of, runs, span_hash, utf8
 from corpusloom.sources.tables import table
 
@@ -160,7 +161,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), metadata: tuple[
     sample = labelled_sample(docs.select("doc_id", "text", *metadata), labels, "quality", folds, held, fit.rows)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small(parts):
             data, offsets = utf8(batch.column("text"))
             meta = _metadata(batch, metadata)
             for i, j in pieces(offsets):
@@ -186,13 +187,13 @@ def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), kee
     Whole texts of any length are scored; null counts as empty and has a score too. Equal rows get
     equal scores; an empty table gives no rows; other columns are ignored.
     """
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(machine)  # a few MB, set by Fit alone
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for batch in parts:
-            data, offsets = utf8(batch.column("_scored"))
+        for batch in small(parts):
+            data, offsets = utf8(batch.column(batch.num_columns - 1))
             meta, out = _metadata(batch, metadata), np.zeros(len(batch))
             for i, j in pieces(offsets):
                 row, bucket, weight, stats = features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], model.buckets)
@@ -200,13 +201,13 @@ def score(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = (), kee
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
-    rows = docs.select(*dict.fromkeys([*keep, *metadata]), F.col("text").alias("_scored"))
-    shape = docs.select(*keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    rows = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, *metadata])], F.col("text").alias("_scored"))
+    shape = T.StructType([*(docs.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rows.mapInArrow(run, shape)
 
 
 def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learnt from labels outside the fold crc32(doc_id) mod 3 = 1."""
-    docs = table(spark, sf_dir, "documents")
-    scored = score(docs, learn(docs, table(spark, sf_dir, "labels")))
+    docs, meta = table(spark, sf_dir, "documents"), ("n_chars",)
+    scored = score(docs, learn(docs, table(spark, sf_dir, "labels"), metadata=meta), metadata=meta)
     return scored.select("doc_id", F.coalesce(id_fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), "score", "predicted")

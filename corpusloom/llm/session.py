@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows handed to a Python worker at a time; texts are long, so far fewer than Spark's default.
-ARROW_ROWS = 1000
+#: Rows of long texts that a task works on at a time.
+ROWS = 1000
 
 
-def tuned(spark: SparkSession) -> SparkSession:
-    """Keep Arrow batches of long texts small enough for a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    return spark
+def small(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches cut into at most ``ROWS`` rows (Spark bounds their bytes); at the end memory that is free goes back to the system."""
+    for batch in parts:
+        for i in range(0, len(batch), ROWS):
+            yield batch.slice(i, ROWS)
+    pa.default_memory_pool().release_unused()
 
 
 def id_fold(doc_id: str, folds: int) -> Column:

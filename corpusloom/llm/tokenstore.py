@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.chunks import SpanTable
-from corpusloom.llm.session import tuned
+from corpusloom.llm.session import small
 from corpusloom.llm.wordkernel import pieces, utf8
 from corpusloom.sources.tables import fresh_path, materialize, table
 
@@ -213,7 +213,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
             done.append({"part": part, "shard": shard, "name": name, "n_docs": len(owners), "n_tokens": total})
             held, owners, sizes, total, shard = [], [], [], 0, shard + 1
 
-        for batch in parts:
+        for batch in small(parts):
             ids_of, (data, offsets) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
             for i, j in pieces(offsets, 1 << 20):
                 ids, at = table_.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -268,7 +268,7 @@ def read_documents(spark: SparkSession, folder: str, manifest: DataFrame) -> Dat
 
 def store_and_read(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None) -> DataFrame:
     """Write ``docs`` as shard files and read them back, see ``read_documents``. An empty table gives no rows."""
-    spark = tuned(docs.sparkSession)
+    spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-shards")
     manifest = materialize(write_shards(docs, tokenizer, end_id, folder), "token-manifest")
     if manifest.isEmpty():
