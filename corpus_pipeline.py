@@ -6,6 +6,9 @@ shared folder and read again as the next stage's input.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,36 @@ from corpusloom.sources.tables import materialize, table
 ORACLE_SQL = None
 
 
+KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _own_names(stage: Callable) -> Callable:
+    """The stage with all columns but the known ones under neutral names, so that no column of ``docs`` can clash."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in KNOWN else f"extra_{k}" for k, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
+def _as(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """``out`` with the columns of ``docs`` in their order; n_chars, where there is one, follows the text."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+@_own_names
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject, with all their columns."""
-    machine = quality.learn(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, machine, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    meta = ("n_chars",) if "n_chars" in docs.columns else ()
+    machine = quality.learn(docs, table(spark, sf_dir, "labels"), metadata=meta)
+    return quality.score(docs, machine, metadata=meta, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
 
 
+@_own_names
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that of least id, nulls last; then a hash of the row decides.
 
@@ -34,17 +61,17 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
+@_own_names
 def mask_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars follows the text."""
-    out = pii.redacted(docs, pii.learn(docs))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _as(docs, pii.redacted(docs, pii.learn(docs)))
 
 
+@_own_names
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: a row for each slice of a document in a drawn block, as a document of its own."""
     other = tuple(c for c in docs.columns if c not in ("doc_id", "text", "source", "n_chars"))
-    out = mixing.mixed(docs, keep=other)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return _as(docs, mixing.mixed(docs, keep=other))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
