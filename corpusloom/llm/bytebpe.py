@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.chunks import ChunkTable, Codes, gathered, text_runs
+from corpusloom.llm.chunks import Codes, SpanTable, gathered
+from corpusloom.llm.wordkernel import pieces, utf8
 from corpusloom.sources.tables import table
 
 #: Longer pretokens would make matrices too wide; they use one row at a time, by linked list and heap.
@@ -75,16 +77,22 @@ class ByteBpe:
         rows = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         left, right, merged = np.array(rows, np.int32).T
         self.pairs = PairTable(left, right, merged)
-        self.joined = {(a, b): m for a, b, m in rows}
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for t, i in ranks.items():
             tokens[i] = t
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.token_at = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        self.table = ChunkTable(self._chunks, most_chunks)
+        self.table = SpanTable(self._apart, self._together, most_chunks)
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def joined(self) -> dict[tuple[int, int], int]:
+        """The merges by pair, for very long pretokens; made when one is met."""
+        used = self.pairs.vals != NONE
+        key = self.pairs.keys[used]
+        return dict(zip(zip((key >> 32).tolist(), (key & 0xFFFFFFFF).tolist()), self.pairs.vals[used].tolist()))
+
+    def _apart(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         codes, rows, ends = Codes(), [], [0]
         find, code_of = self.pattern.findall, codes.__getitem__
         for c in chunks:
@@ -94,6 +102,19 @@ class ByteBpe:
         flat, upto = gathered(ids, offsets, np.array(rows, np.int64))
         return flat, upto[np.array(ends, np.int64)]
 
+    def _together(self, chunks: bytes, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks that each start a match: one search over all, cut where the matches' bytes reach a chunk's end."""
+        codes = Codes()
+        rows = np.array(list(map(codes.__getitem__, self.pattern.findall(chunks.decode()))), np.int64)
+        words = [w.encode() for w in codes]
+        reached = np.concatenate([[0], np.cumsum(np.array([len(w) for w in words], np.int64)[rows])])
+        at = np.searchsorted(reached, upto)
+        if not np.array_equal(reached[np.minimum(at, len(rows))], upto):
+            raise ValueError("a match of the pattern crosses a chunk's border")
+        ids, offsets = self.pretokens(words)
+        flat, ends = gathered(ids, offsets, rows)
+        return flat, ends[at]
+
     def pretokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each pretoken, its own id where the file has it, else by merges; n+1 offsets."""
         known = np.array([self.ranks.get(w, -1) for w in words], np.int64)
@@ -180,9 +201,11 @@ class ByteBpe:
                 heapq.heappush(heap, (x, prv[i], ids[prv[i]], m))
         return np.array([x for x in ids if x >= 0], np.int32)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, n+1 offsets)."""
-        return self.table.encode_texts(texts)
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of some texts one after another, n+1 offsets) for runs of texts of a column; null counts as empty."""
+        data, offsets = utf8(column)
+        for i, j in pieces(offsets, 1 << 20):
+            yield self.table.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     def decode(self, ids: np.ndarray) -> bytes:
         first = self.token_at[ids]
@@ -207,8 +230,7 @@ def digested(text: Column, path: str, pattern: str) -> Column:
     @F.arrow_udf(f"struct<{DIGEST.replace(' long', ': long').replace(' string', ': string')}>")
     def run(column: pa.Array) -> pa.Array:
         bpe, out = coder(path, pattern), []
-        for texts in text_runs(column):
-            ids, at = bpe.encode(texts)
+        for ids, at in bpe.encode(column):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 own = ids[a:b]
                 out.append((b - a, hashlib.sha256(",".join(map(str, own.tolist())).encode()).hexdigest(), hashlib.sha256(bpe.decode(own)).hexdigest()))
@@ -224,8 +246,7 @@ def encoded(text: Column, path: str, pattern: str) -> Column:
     def run(column: pa.Array) -> pa.Array:
         bpe = coder(path, pattern)
         parts, ends, base = [], [np.zeros(1, np.int64)], 0
-        for texts in text_runs(column):
-            ids, at = bpe.encode(texts)
+        for ids, at in bpe.encode(column):
             parts.append(ids)
             ends.append(at[1:] + base)
             base += len(ids)

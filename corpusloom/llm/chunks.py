@@ -2,36 +2,18 @@
 
 The public pattern lets a space open the next match when a non-space follows it. So a text may
 be cut before every space that precedes a character other than white space, and each chunk
-encoded alone; chunks repeat far more often than texts, so their ids are kept in a table.
+encoded alone; chunks repeat far more often than texts, so their ids are kept in a table. Where the rule may not hold
+(white space of other kinds, special strings) no cut is made; a longer chunk has the same ids.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 
 from corpusloom.llm.wordkernel import BYTE_CODE, span_hash
 
-#: White space of any kind after a space, or a space at the end: such texts are cut by search instead.
-_ODD = re.compile(r" (?=\s|$)")
-_CUT = re.compile(r" (?=\S)")
-
-
-def chunked(text: str, special: tuple[str, ...] = ()) -> list[str]:
-    """The text in pieces; each but the first starts with its space. No cut is made before a space that
-    precedes a ``special`` string: there the match ends with the space, together with white space before it."""
-    if not text:
-        return []
-    if _ODD.search(text) or any(s in text for s in special):
-        at = [0, *(m.start() for m in _CUT.finditer(text) if not text.startswith(special, m.end())), len(text)]
-        return [text[a:b] for a, b in zip(at, at[1:]) if a < b]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
-
-
 class Codes(dict):
     """Numbers keys in the order in which they are first asked for."""
 
@@ -54,62 +36,15 @@ def gathered(ids: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np
     return ids[np.arange(upto[-1]) + np.repeat(first - upto[:-1], sizes)], upto
 
 
-class ChunkTable:
-    """Ids of chunks seen so far in this process, at most about ``most`` chunks; then it starts anew.
-
-    ``encode`` takes chunks and returns their ids one after another with n+1 offsets. ``special`` strings,
-    which hold no white space, are ids of their own to it.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, special: tuple[str, ...] = ()):
-        self.encode, self.most, self.special = encode, most, special
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes = Codes()
-        self.ids = np.zeros(0, np.int32)
-        self.offsets = np.zeros(1, np.int64)
-
-    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, n+1 offsets)."""
-        if len(self.codes) > self.most:
-            self.clear()
-        code_of, rows, ends = self.codes.__getitem__, [], [0]
-        for text in texts:
-            rows.extend(map(code_of, chunked(text, self.special)))
-            ends.append(len(rows))
-        if self.codes.new:
-            ids, offsets = self.encode(self.codes.new)
-            self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + offsets[1:]])
-            self.codes.new = []
-        flat, upto = gathered(self.ids, self.offsets, np.array(rows, np.int64))
-        return flat, upto[np.array(ends, np.int64)]
-
-
-def text_runs(column: pa.Array, rows: int = 256) -> Iterator[list[str]]:
-    """The texts of a column, null as the empty text, some rows at a time and of long texts fewer."""
-    for i in range(0, len(column), rows):
-        texts, n = [], 0
-        for t in column.slice(i, rows).to_pylist():
-            texts.append(t or "")
-            n += len(texts[-1])
-            if n >= 1 << 20:
-                yield texts
-                texts, n = [], 0
-        if texts:
-            yield texts
-
-
 #: Bytes that may begin white space of the pattern, and lead bytes of characters among which white space is.
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class SpanTable:
-    """As ``ChunkTable``, over UTF-8 buffers and without an object for each chunk.
+    """Ids of chunks seen so far in this process, at most about ``most`` chunks; then it starts anew.
 
-    A chunk is known by a 64-bit hash, its length and its first eight bytes. ``apart`` takes strings, and
+    A chunk is a slice of a UTF-8 buffer, known by a 64-bit hash, its length and its first eight bytes. ``apart`` takes strings, and
     ``together`` a string of chunks that each start with a space, and their ends in bytes; both return ids one after
     another with n+1 offsets. Where a space may precede white space or a ``special`` string no cut is made.
     """

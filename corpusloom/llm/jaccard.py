@@ -39,7 +39,7 @@ class Join:
 
     words: int = 5
     percent: int = 80
-    part: int = 1 << 21
+    part: int = 1 << 20
 
 
 

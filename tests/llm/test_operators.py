@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import bytebpe, jaccard, langid, linerules, mixing, neighbours, pii, quality, registry, sharding, tokenstore
 
@@ -72,9 +74,19 @@ def test_byte_bpe_equals_the_library(spark, docs):
         assert r.decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
     bpe = bytebpe.coder(path, pattern)
     texts = [t or "" for t in ODD]
-    ids, at = bpe.encode(texts)
-    for t, a, b in zip(texts, at[:-1], at[1:]):
-        assert ids[a:b].tolist() == own.encode_ordinary(t) and bpe.decode(ids[a:b]) == t.encode()
+    texts += ["  a  b ", "x\u00a0 y \u3000z  \u2003 w", " \n x \r\n\r\n y", "a 12345 b\t c", "« q » – “r”", " ", "\x1c \x1f a"]
+    for _ in range(2):  # chunks are new, then known
+        got_ids = [ids[a:b] for ids, at in bpe.encode(pa.array(texts)) for a, b in zip(at[:-1], at[1:])]
+        assert [x.tolist() for x in got_ids] == [own.encode_ordinary(t) for t in texts]
+        assert [bpe.decode(x) for x in got_ids] == [t.encode() for t in texts]
+
+
+def test_encoded_and_decoded_columns(spark):
+    path, pattern = bytebpe.public_file()
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ODD)], "doc_id long, text string")
+    back = rows.select("text", bytebpe.decoded(bytebpe.encoded("text", path, pattern), path, pattern).alias("raw"), bytebpe.decoded(F.lit(None).cast("array<int>"), path, pattern).alias("none"))
+    assert all(bytes(r.raw) == (r.text or "").encode() and r.none is None for r in back.collect())
+    assert bytebpe.PairTable(np.array([1, 2]), np.array([2, 3]), np.array([7, 8])).ranks(np.array([1, 2, 2, -1]), np.array([2, 3, 2, 2])).tolist() == [7, 8, bytebpe.NONE, bytebpe.NONE]
 
 
 def test_token_store(spark, docs):
