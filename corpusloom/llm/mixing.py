@@ -11,7 +11,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -105,13 +104,13 @@ def _feistel(k: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-@F.pandas_udf(T.LongType())
-def permuted(draw: pd.Series, n: pd.Series, source: pd.Series, seed: pd.Series) -> pd.Series:
+@F.arrow_udf(T.LongType())
+def permuted(draw: pa.Array, n: pa.Array, source: pa.Array, seed: pa.Array) -> pa.Array:
     """Block index of a source's draw: each run of n draws is another permutation of its n blocks."""
-    d, m = draw.to_numpy(np.int64), n.to_numpy(np.int64)
+    d, m, of, own = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (draw, n, source, seed))
     with np.errstate(over="ignore"):
-        key = (source.to_numpy(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((d // m).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (seed.to_numpy(np.uint64) << np.uint64(7))
-        return pd.Series(_feistel(d % m, m, key))
+        key = (of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ ((d // m).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (own.astype(np.uint64) << np.uint64(7))
+        return pa.array(_feistel(d % m, m, key))
 
 
 def lay_out(rows: DataFrame, how: Mix) -> DataFrame:
@@ -194,30 +193,34 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix()
     return parts.join(drawn.hint("shuffle_hash"), ["source_no", "block"], "left").groupBy(*key).agg(F.sum(words).alias("taken")).drop("source_no", "_bucket", "_nth")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("text", T.StringType())])))
-def slices(text: pd.Series, start: pd.Series, size: pd.Series, block: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("text", T.StringType())])))
+def slices(text: pa.Array, start: pa.Array, size: pa.Array, block: pa.Array) -> pa.Array:
     """The document's text cut where its words cross block borders; white space stays with the word before."""
-    import re
-
-    word = re.compile(r"[^\x20\x09-\x0D]+")
-    out = []
-    for t, s, n, b in zip(text, start, size, block):
-        if not n:
-            out.append([])
-            continue
-        first = s // b
-        cuts = [0, *((k * b - s) for k in range(first + 1, (s + n - 1) // b + 1))]
-        at = [0]
-        if len(cuts) > 1:
-            want = iter(cuts[1:])
-            nxt = next(want)
-            for i, m in enumerate(word.finditer(t)):
-                if i == nxt:
-                    at.append(m.start())
-                    nxt = next(want, -1)
-        at.append(len(t))
-        out.append([{"block": int(first + k), "text": t[at[k] : at[k + 1]]} for k in range(len(cuts))])
-    return pd.Series(out)
+    data, offsets = utf8(text)
+    first, n, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (start, size, block))
+    blocks, ends, lists = [], [], [np.zeros(1, np.int64)]
+    for i, j in pieces(offsets):
+        at = offsets[i : j + 1] - offsets[i]
+        words, _ = runs(~SPACE[data[offsets[i] : offsets[j]]], at)
+        base = np.searchsorted(words, at)[:-1]  # each text's first word
+        cuts = np.where(n[i:j] > 0, (first[i:j] + n[i:j] - 1) // b[i:j] - first[i:j] // b[i:j] + 1, 0)
+        row = np.repeat(np.arange(j - i), cuts)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        own = first[i:j][row] // b[i:j][row] + k
+        last = k == cuts[row] - 1
+        word = base[row] + np.minimum((own + 1) * b[i:j][row] - first[i:j][row], n[i:j][row])  # the first word of the next slice
+        ends.append(offsets[i] + np.where(last, at[1:][row], words[np.minimum(word, max(0, len(words) - 1))] if len(words) else 0))
+        blocks.append(own)
+        lists.append(lists[-1][-1] + np.cumsum(cuts))
+    ends = np.concatenate([np.zeros(0, np.int64), *ends])
+    # texts without words have no slice, and a text's slices leave nothing out: one text begins where the one before ends
+    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+    at = np.concatenate(lists)
+    heads = at[:-1][np.diff(at) > 0]
+    begins[heads] = offsets[:-1][np.diff(at) > 0]
+    raw = data.tobytes()
+    cut_ = pa.array([raw[a:z].decode() for a, z in zip(begins.tolist(), ends.tolist())], pa.string())
+    return pa.ListArray.from_arrays(at.astype(np.int32), pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *blocks])), cut_], ["block", "text"]))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix(), keep: tuple[str, ...] = (), slot: str = "slot") -> DataFrame:
