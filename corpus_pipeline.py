@@ -19,6 +19,8 @@ from corpusloom.sources.tables import materialize, table
 ORACLE_SQL = None
 
 
+#: Rows of an Arrow batch in this pipeline's session: its texts are long and its workers run stage after stage.
+BATCH = 1000
 KNOWN = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -27,6 +29,7 @@ def _own_names(stage: Callable) -> Callable:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
         plain = [c if c in KNOWN else f"extra_{k}" for k, c in enumerate(docs.columns)]
         return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
 
