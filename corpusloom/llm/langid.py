@@ -25,11 +25,10 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: most texts to learn from. windows: most windows of a text in training (all in prediction).
+    """rows: most texts to learn from, all their windows.
     epochs, steps: training passes, more of them where a small sample would give fewer steps."""
 
-    rows: int = 4000
-    windows: int = 3
+    rows: int = 1200
     width: int = 192
     kernels: tuple[int, ...] = (2, 3, 4)
     filters: int = 16
@@ -142,11 +141,7 @@ def learn(docs: DataFrame, fit: Fit = Fit(), folds: int = 4, held: int = 2) -> N
         for batch in small(parts):
             data, offsets = utf8(batch.column("_low"))
             starts, ends, row = windows(data, offsets, fit)
-            first = np.searchsorted(row, np.arange(len(batch)))
-            n = np.diff(np.append(first, len(row)))
-            spread = np.arange(fit.windows)[None, :] * np.maximum(1, n // fit.windows)[:, None]
-            pick = np.repeat(first, fit.windows) + spread.ravel()
-            pick = pick[(spread < n[:, None]).ravel()]
+            pick = np.arange(len(row))
             got = window_bytes(data, starts[pick], ends[pick], fit).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(row[pick])), batch.column("lang").take(pa.array(row[pick])), pa.array([x.tobytes() for x in got], pa.binary())],
@@ -154,7 +149,7 @@ def learn(docs: DataFrame, fit: Fit = Fit(), folds: int = 4, held: int = 2) -> N
             )
 
     rows = sample.select("doc_id", "lang", F.lower("text").alias("_low")).mapInArrow(run, "doc_id long, lang string, window binary")
-    got = sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))  # at most fit.rows * fit.windows windows
+    got = sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))  # all windows of at most fit.rows texts
     if not got:
         return None
     langs = sorted({x[1] for x in got})

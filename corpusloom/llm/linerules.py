@@ -28,11 +28,10 @@ FEATURES = 19
 
 @dataclass(frozen=True)
 class Fit:
-    """rows: most labelled texts to learn from; lines: most lines of each in training. share: least part of words in content lines.
+    """rows: most labelled texts to learn from, all their lines. share: least part of words in content lines.
     step_decay: keeps the steps weak, as the sample's texts are mostly of one label."""
 
     rows: int = 2000
-    lines: int = 60
     epochs: int = 100
     rate: float = 0.05
     decay: float = 1e-3
@@ -204,9 +203,12 @@ def train(feats: np.ndarray, at: np.ndarray, y: np.ndarray, fit: Fit) -> Field:
     return field
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Field | None:
-    """Train from labelled texts, see the module; None where there are none, then every line is content."""
-    sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", 1, -1, fit.rows)
+def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit(), folds: int = 1, held: int = -1) -> Field | None:
+    """Train from labelled texts, see the module; None where there are none, then every line is content.
+
+    A fold of the ids can be held out to measure the verdicts there.
+    """
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", folds, held, fit.rows)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(parts):
@@ -216,7 +218,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Field | None:
                 got = scan(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 out = []
                 for r, (a, b) in enumerate(zip(got.line_at[:-1], got.line_at[1:])):
-                    f = got.features[a : min(b, a + fit.lines)]
+                    f = got.features[a:b]
                     y = np.where(f[:, 4] > 0, BOILERPLATE, CONTENT if good[i + r] else BOILERPLATE)
                     out.append({"doc_id": batch.column("doc_id")[i + r].as_py(), "y": y.astype(np.int8).tobytes(), "f": f.tobytes()})
                 yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("y", pa.binary()), ("f", pa.binary())]))

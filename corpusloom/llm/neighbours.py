@@ -23,13 +23,14 @@ from corpusloom.sources.tables import materialize, table
 
 @dataclass(frozen=True)
 class IvfPq:
-    """sample: vectors to fit on. most_lists: centroids at most, else the root of the number of distinct vectors.
-    probed: share of lists that a query visits. codes: subspaces. rerank: distinct vectors scored exactly.
+    """sample: vectors to fit on. lists, most_lists: centroids are ``lists`` times the root of the number of distinct
+    vectors, at most ``most_lists`` (four vectors of the sample each). probed: share of lists that a query visits. codes: subspaces. rerank: distinct vectors scored exactly.
     query_block, list_block: rows that one task holds of a block of queries and of a list."""
 
     sample: int = 16384
+    lists: float = 3.0
     most_lists: int = 4096
-    probed: float = 0.7
+    probed: float = 0.6
     codes: int = 16
     rerank: int = 256
     query_block: int = 64
@@ -65,40 +66,56 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 @dataclass(frozen=True)
 class Model:
+    """``centres`` have one dimension more than the vectors, see ``lifted``."""
+
+    reach: float
     centres: np.ndarray
     books: tuple[np.ndarray, ...]
     cuts: tuple[tuple[int, int], ...]
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(list, codes) of each vector."""
-        lists = _nearest(x, self.centres)
-        rest = x - self.centres[lists]
+        lists = _nearest(lifted(x, self.reach), self.centres)
+        rest = x - self.centres[lists, :-1]
         return lists, np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.cuts, self.books)], 1).astype(np.uint8)
 
     def probes(self, q: np.ndarray, share: float) -> np.ndarray:
-        """The lists with the largest inner products with each query."""
+        """The lists whose centroids are nearest to each query, in the space in which vectors were put into lists."""
         n = max(1, int(np.ceil(share * len(self.centres))))
-        return np.argsort(-(q @ self.centres.T), 1, kind="stable")[:, :n]
+        full = q * (self.reach / np.maximum(np.linalg.norm(q, axis=1), 1e-30))[:, None]
+        return np.argsort(0.5 * (self.centres**2).sum(1) - full @ self.centres[:, :-1].T, 1, kind="stable")[:, :n]
+
+    def coarse(self, q: np.ndarray) -> np.ndarray:
+        """Inner products of queries and centroids."""
+        return q @ self.centres[:, :-1].T
 
     def tables(self, q: np.ndarray) -> list[np.ndarray]:
         """Asymmetric tables: inner product of each query's part with each code's centre."""
         return [q[:, a:b] @ book.T for (a, b), book in zip(self.cuts, self.books)]
 
 
+def lifted(x: np.ndarray, reach: float) -> np.ndarray:
+    """Vectors with a component more that brings each to the length ``reach``: among vectors of one length the nearest to a
+    query (whose own is 0 there) has the largest inner product. Longer vectors, which the sample did not have, get 0."""
+    return np.concatenate([x, np.sqrt(np.maximum(0, reach**2 - (x.astype(np.float64) ** 2).sum(1)))[:, None]], 1).astype(np.float32)
+
+
 def fit(x: np.ndarray, n_lists: int, how: IvfPq) -> Model:
     rng = np.random.Generator(np.random.PCG64(how.seed))
-    centres = _kmeans(x, min(n_lists, len(x)), how.rounds, rng)
-    rest = x - centres[_nearest(x, centres)]
+    reach = float(np.linalg.norm(x.astype(np.float64), axis=1).max())
+    up = lifted(x, reach)
+    centres = _kmeans(up, min(n_lists, len(x)), how.rounds, rng)
+    rest = x - centres[_nearest(up, centres), :-1]
     edges = np.linspace(0, x.shape[1], min(how.codes, x.shape[1]) + 1).astype(int)
     cuts = tuple((int(a), int(b)) for a, b in zip(edges, edges[1:]))
     books = tuple(_kmeans(np.ascontiguousarray(rest[:, a:b]), min(256, len(x)), how.rounds, rng) for a, b in cuts)
-    return Model(centres, books, cuts)
+    return Model(reach, centres, books, cuts)
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
-    """Fixed-length list column as a float32 matrix."""
+def matrix(column: pa.ChunkedArray | pa.Array, d: int, kind: type = np.float32) -> np.ndarray:
+    """Fixed-length list column as a matrix."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -144,7 +161,9 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
+    own = vectors.schema["embedding"].dataType.simpleString()
+    vector = F.col("embedding") if own == "array<float>" else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", vector.alias("embedding")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     once = rows.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("_most"))
     # alone: no other id has the vector
     once = materialize(_keyed(once).select("key", "check", "least", (F.col("least") == F.col("_most")).alias("alone"), "embedding"), "ann-vectors")
@@ -156,7 +175,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
     rows, once = rows.where(F.size("embedding") == d), once.where(F.size("embedding") == d)
     total = once.count()
     sample = np.array([v for v in drawn if len(v) == d], np.float32)
-    model = fit(sample, min(how.most_lists, max(1, int(total**0.5))), how)
+    model = fit(sample, min(how.most_lists, max(1, -(-len(sample) // 4)), max(1, int(how.lists * total**0.5))), how)
     kept = spark.sparkContext.broadcast(model)  # at most most_lists centroids and codes x 256 centres
 
     def assign(parts):
@@ -167,6 +186,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
     coded = materialize(once.select("key", "least", "alone", "embedding").mapInArrow(assign, "list int, key long, least long, alone boolean, code binary"), "ann-codes")
     # long lists are cut into blocks by hash, so no list is one task's work
     sizes = coded.groupBy("list").agg(F.ceil(F.count("*") / how.list_block).alias("_blocks"))  # one row per centroid
+    n_blocks = sizes.agg(F.sum("_blocks")).first()[0]
     placed = coded.join(F.broadcast(sizes), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
 
     def pack(t: pa.Table) -> pa.Table:
@@ -181,7 +201,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
         n_queries = max(1, asked.count())
         groups = -(-n_queries // how.query_block)
         asked = materialize(asked.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")), "ann-queries")
-        salts = max(1, -(-int(share * len(model.centres)) // how.blocks_a_task))
+        salts = max(1, -(-int(share * n_blocks) // how.blocks_a_task))
 
         def visit(t: pa.Table) -> pa.Table:
             q = matrix(t.column("embedding"), d)
@@ -198,7 +218,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
             wanted = np.zeros((len(q), len(m.centres)), bool)
             if len(q):
                 wanted[np.arange(len(q))[:, None], m.probes(q, share)] = True
-            tables, coarse = m.tables(q), q @ m.centres.T
+            tables, coarse = m.tables(q), m.coarse(q)
             for no, keys, least, alone, codes in zip(*(left.column(c).to_pylist() for c in ("list", "keys", "least", "alone", "codes"))):
                 who = np.flatnonzero(wanted[:, no])
                 if not len(who):
@@ -234,9 +254,9 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
         def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
             names = right.column("query_id").to_numpy()
             order = np.argsort(names)
-            q = matrix(right.column("embedding"), d).astype(np.float64)[order]
+            q = matrix(right.column("embedding"), d, np.float64)[order]
             own = np.searchsorted(names[order], left.column("query_id").to_numpy())
-            score = (matrix(left.column("embedding"), d).astype(np.float64) * q[own]).sum(1)
+            score = (matrix(left.column("embedding"), d, np.float64) * q[own]).sum(1)
             out = [np.zeros(0, np.int64)]
             for i in range(len(q)):
                 mine = np.flatnonzero(own == i)

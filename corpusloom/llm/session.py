@@ -36,7 +36,8 @@ def row_key(*columns: str) -> Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, rows: int) -> DataFrame:
     """Documents with a label outside the held-out fold, at most ``rows`` of them, chosen by a hash of the id.
 
-    The chosen ids (not more than ``rows``) are broadcast, so texts are not shuffled.
+    The chosen ids (not more than ``rows``) are broadcast, so texts are not shuffled. Of rows that share a chosen id
+    one is kept: that whose text has the least hash.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
@@ -46,4 +47,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    return docs.join(F.broadcast(chosen), "doc_id")
+    found = docs.join(F.broadcast(chosen), "doc_id").withColumn("_hash", F.xxhash64("text"))
+    return found.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in found.columns if c not in ("doc_id", "_hash")]), "_hash").alias("_one")).select("doc_id", "_one.*")

@@ -78,10 +78,11 @@ def rebalance(current: SlotMap, slot_bytes: dict[int, int], n_shards: int, toler
 def digest(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 8), text_crc32 and virtual slot of each row, without the text.
 
-    A null text counts as no bytes. Rows with a null id are spread by their text.
+    A null text counts as no bytes. Id and text decide the slot, so neither rows of one id nor copies of one text
+    fill a slot; only rows alike in both do.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64(text)).otherwise(F.xxhash64("doc_id"))
+    spread = F.xxhash64("doc_id", text)
     return docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 8).alias("size"),

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bytebpe, jaccard, langid, linerules, mixing, neighbours, pii, quality, registry, sharding, tokenstore
+from corpusloom.llm import bytebpe, jaccard, langid, linerules, mixing, neighbours, pii, quality, registry, session, sharding, tokenstore
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +56,31 @@ def test_sharding(spark, docs):
         assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
+    load = got.groupby("shard")["size"].sum()
+    assert got.law.eq("bytes").all() and got.grown_shard.isna().all() and set(load.index) == set(range(24))
+    assert load.max() - load.min() <= got["size"].max()  # a single record can't be cut
+
+
+def test_sharding_with_a_hot_id_and_a_hot_text(spark):
+    rows = [(1, f"text {k}") for k in range(3000)] + [(k, "same text") for k in range(3000)] + [(None, f"{k} " * 5) for k in range(3000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 6).toPandas()
+    load = got.groupby("shard")["size"].sum()
+    assert len(got) == 9000 and load.max() - load.min() <= 0.001 * load.mean() + got["size"].max()
+
+
+def test_slot_map_is_versioned_and_moves_little(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    sizes = {v: int(n) for v, n in enumerate(rng.integers(0, 1000, sharding.SLOTS)) if n}
+    first = sharding.rebalance(sharding.SlotMap.initial(8), sizes, 8)
+    second = sharding.rebalance(first, sizes, 9)
+    load = Counter()
+    for v, n in sizes.items():
+        load[second.shards[v]] += n
+    assert (first.version, second.version) == (1, 2) and max(load.values()) - min(load.values()) <= 1000
+    assert sum(n for v, n in sizes.items() if first.shards[v] != second.shards[v]) < 1.2 * sum(sizes.values()) / 9
+    for m in (first, second):
+        m.store(spark, f"file://{tmp_path}")
+    assert sharding.SlotMap.load(spark, f"file://{tmp_path}", 1) == first and sharding.SlotMap.load(spark, f"file://{tmp_path}", 2) == second
 
 
 def test_byte_bpe_equals_the_library(spark, docs):
@@ -256,6 +281,26 @@ def test_neighbours_of_repeated_ids_and_thin_lists(spark):
         assert whole[whole.query_id == q].sort_values("rank").vec_id.tolist() == [i for i, _ in want]
 
 
+def test_neighbours_of_odd_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    good = [(k, [float(k % 7 - 3), 0.3 * k + 1, -1.0 * (k % 3), 0.1]) for k in range(50)] + [(4, [9.0, 9.0, 9.0, 9.0])]
+    bad = [(100, None), (101, []), (104, [0.0] * 4), (108, [nan, 1.0, 1.0, 1.0]), (112, [inf, 1.0, 1.0, 1.0]), (116, [None, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (120, [1.0, 2.0])]
+    for kind in ("float", "double"):
+        table = spark.createDataFrame(good + bad, f"vec_id long, embedding array<{kind}>").withColumns({"list": F.lit("x"), "block": F.lit(1), "score": F.lit(None)})
+        got = neighbours.search(table, 4, 3, neighbours.IvfPq(probed=1.0)).toPandas()
+        x = np.array([v for _, v in good]).astype(np.float32 if kind == "float" else np.float64).astype(np.float64)
+        ids = np.array([i for i, _ in good])
+        assert set(got.query_id) == {i for i in ids.tolist() if i % 4 == 0}
+        for q, g in got.groupby("query_id"):
+            g, at = g.sort_values("rank"), np.flatnonzero(ids == q)
+            own = x[at[np.lexsort(x[at].T[::-1])[0]]]  # the least of vectors that share the id
+            s = (x * own).sum(1)
+            other = np.flatnonzero(ids != q)
+            best = other[np.lexsort((ids[other], -s[other]))[:3]]
+            assert g.vec_id.tolist() == ids[best].tolist() and np.allclose(g.score, s[best], rtol=1e-14, atol=0)
+        assert neighbours.search(table.limit(0), 4, 3).collect() == [] and neighbours.search(table.where("vec_id > 99"), 4, 3).where("query_id < 120").collect() == []
+
+
 def test_pii(spark, docs):
     got, text = run("op7_pii_spans", spark).set_index("doc_id"), dict(zip(docs.doc_id, docs.text))
     for i, t in text.items():
@@ -412,6 +457,21 @@ def test_line_rules(spark, docs, odd):
     assert counts == Counter(brute_lines(t or "") for t in ODD + ODD[4:6])
 
 
+def test_line_rules_on_a_held_out_fold(spark, docs):
+    rows, marks = spark.read.parquet(f"{SF}/documents.parquet"), pd.read_parquet(f"{SF}/labels.parquet")
+    field = linerules.learn(rows, spark.createDataFrame(marks), folds=3, held=1)
+    got = linerules.judge(rows, field).toPandas().merge(marks, on="doc_id")
+    own = got[~got.base_failed & (fold(got.doc_id, 3) == 1)]
+    assert len(own) > 10 and (own.kept == (own.quality == 1)).mean() > 0.85
+
+
+def test_sample_keeps_one_row_of_an_id(spark):
+    docs = spark.createDataFrame([(5, "b"), (5, "a"), (5, "c"), (6, "d"), (7, None)], "doc_id long, text string")
+    marks = spark.createDataFrame([(5, 1), (5, 0), (6, 0), (7, 1), (8, 1)], "doc_id long, quality int")
+    got = session.labelled_sample(docs, marks, "quality", 1, -1, 10).collect()
+    assert sorted(r.doc_id for r in got) == [5, 6, 7] and {r.doc_id: r["_label"] for r in got} == {5: 1, 6: 0, 7: 1}
+
+
 def test_viterbi_against_all_paths():
     rng = np.random.default_rng(4)
     field = linerules.Field(rng.normal(size=(linerules.FEATURES, 2)), rng.normal(size=(2, 2)))
