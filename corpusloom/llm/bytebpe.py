@@ -69,14 +69,13 @@ class PairTable:
 class ByteBpe:
     """Encoder and decoder of a rank file in tiktoken's format: base64 of the bytes, then the id, on each line."""
 
-    def __init__(self, path: str, pattern: str, most_chunks: int = 400_000):
+    def __init__(self, path: str, pattern: str, most_chunks: int = 200_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        rows = [(ranks[t[:k]], ranks[t[k:]], i) for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, merged = np.array(rows, np.int32).T
-        self.pairs = PairTable(left, right, merged)
+        splits = (x for t, i in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks for x in (ranks[t[:k]], ranks[t[k:]], i))
+        self.pairs = PairTable(*np.fromiter(splits, np.int32).reshape(-1, 3).T)
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for t, i in ranks.items():
@@ -204,7 +203,7 @@ class ByteBpe:
     def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts one after another, n+1 offsets) for runs of texts of a column; null counts as empty."""
         data, offsets = utf8(column)
-        for i, j in pieces(offsets, 1 << 20):
+        for i, j in pieces(offsets, 1 << 18):
             yield self.table.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
     def decode(self, ids: np.ndarray) -> bytes:

@@ -329,8 +329,8 @@ class Tagger:
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         starts = offsets[row] + k * hop
         out = np.zeros(len(flat), np.int8)
-        for a in range(0, len(row), 1024):
-            b = min(a + 1024, len(row))
+        for a in range(0, len(row), 512):
+            b = min(a + 512, len(row))
             at = starts[a:b] + np.arange(fit.window)[:, None]
             inside = at < offsets[row[a:b] + 1]
             tags = self.decode(np.where(inside, flat[np.minimum(at, len(flat) - 1)], 0))
@@ -416,7 +416,7 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
 
-def _groups(texts: list[str], chars: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], chars: int = 1 << 18) -> Iterator[tuple[int, int]]:
     i = n = 0
     for k, t in enumerate(texts):
         n += len(t)

@@ -66,7 +66,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs [i, j) of rows of at most ``most`` bytes together, or of one longer row."""
     i, n = 0, len(offsets) - 1
     while i < n:
