@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,13 +26,13 @@ def truncated(text: Column, n: int) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """Binary units with two decimals, halves rounded up."""
+    """Binary units with two decimals, halves rounded up; null for null."""
     scaled = lambda k: F.format_string("%d.%02d", F.floor((n * 100 / 1024**k + 0.5) / 100), F.floor(n * 100 / 1024**k + 0.5) % 100)
     return (
         F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
         .when(n < 1024**2, F.concat(scaled(1), F.lit(" KB")))
         .when(n < 1024**3, F.concat(scaled(2), F.lit(" MB")))
-        .otherwise(F.concat(scaled(3), F.lit(" GB")))
+        .when(n.isNotNull(), F.concat(scaled(3), F.lit(" GB")))
     )
 
 
@@ -54,3 +57,102 @@ def age_bucket(seconds: Column) -> Column:
         F.when(seconds < 60, "now").when(seconds < 3600, "minutes").when(seconds < 86400, "hours")
         .when(seconds < 30 * 86400, "days").when(seconds < 365 * 86400, "months").otherwise("years")
     )
+
+
+def cjk_share(text: Column) -> Column:
+    """Part of a text's characters in the three CJK ideograph ranges; 0 for an empty text, null for null."""
+    cjk = F.length(F.regexp_replace(text, r"[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]", ""))
+    return F.when(F.length(text) == 0, 0.0).otherwise(cjk / F.length(text))
+
+
+def camel_parts(word: Column) -> Column:
+    """Pieces of a word, cut before a capital after a small letter or digit, and before the last of several capitals."""
+    return F.split(word, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
+
+
+def code_tokens(text: Column) -> Column:
+    """Distinct lower-case tokens in order of appearance: runs of letters, digits and path signs, their segments between
+    signs, and the segments' camel-case parts. Null for null."""
+    whole = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_\-./:\\]+"), F.lit(0)), lambda r: F.regexp_replace(r, r"^[_\-./:\\]+|[_\-./:\\]+$", ""))
+    segments = lambda r: F.split(r, r"[_\-./:\\]+")
+    each = F.transform(whole, lambda r: F.concat(F.array(r), segments(r), F.flatten(F.transform(segments(r), camel_parts))))
+    return F.array_distinct(F.transform(F.filter(F.flatten(each), lambda t: t != ""), F.lower))
+
+
+def version_parts(version: Column) -> Column:
+    """The numeric parts of a dotted version; parts that are no number are left out."""
+    return F.transform(F.filter(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: x.rlike("^[0-9]{1,18}$")), lambda x: x.cast("long"))
+
+
+def version_order(one: Column, two: Column) -> Column:
+    """-1, 0 or 1 as version ``one`` is less than, equal to or greater than ``two``; missing parts are 0."""
+    a, b = version_parts(one), version_parts(two)
+    n = F.greatest(F.size(a), F.size(b))
+    part = lambda x, k: F.coalesce(F.get(x, k), F.lit(0))
+    signs = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.sign(part(a, k) - part(b, k)).cast("int"))
+    return F.aggregate(signs, F.lit(0), lambda found, x: F.when(found != 0, found).otherwise(x))
+
+
+def thousands(n: Column) -> Column:
+    """1000 and more as thousands with one decimal and K."""
+    return F.when(n >= 1000, F.concat(F.format_string("%.1f", (n / 1000).cast("double")), F.lit("K"))).otherwise(n.cast("string"))
+
+
+def slug(text: Column, fallback: str) -> Column:
+    """Lower-case letters, digits, hyphens and underscores; white space as a hyphen; ``fallback`` where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), r"[ \t\n]+", "-"), "[^a-z0-9_-]", "")
+    trimmed = F.regexp_replace(bare, "^-+|-+$", "")
+    return F.when(trimmed == "", fallback).otherwise(F.coalesce(trimmed, F.lit(fallback)))
+
+
+def plain_path(path: Column) -> Column:
+    """Forward slashes, without the long-path prefix and closing slashes."""
+    return F.regexp_replace(F.regexp_replace(F.translate(path, "\\", "/"), r"^//\?/", ""), "/+$", "")
+
+
+def path_excluded(path: Column, pattern: str) -> Column:
+    """Whether a relative path is the pattern or lies in such a folder; outer dots, slashes and stars of the pattern do not count."""
+    bare = pattern.removeprefix("./").strip("/*")
+    return (path == bare) | path.startswith(bare + "/") | path.contains(f"/{bare}/") | path.endswith(f"/{bare}")
+
+
+def glob_regex(glob: str) -> str:
+    """A glob of ``*``, ``**`` and ``?`` as a regular expression over a whole path."""
+    signs = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "^" + "".join(signs.get(x) or re.escape(x) for x in re.findall(r"\*\*|.", glob)) + "$"
+
+
+def glob_excluded(path: Column, globs: list[str]) -> Column:
+    """Whether a glob matches the whole path or one of its segments; no glob excludes nothing."""
+    hit = lambda x: reduce(lambda a, g: a | x.rlike(glob_regex(g)), globs, F.lit(False))
+    return hit(path) | F.exists(F.split(path, "/"), hit)
+
+
+def file_supported(path: Column, suffixes: tuple[str, ...], names: tuple[str, ...]) -> Column:
+    """Whether the last segment has one of the suffixes, in any case, or is one of the names."""
+    name = F.substring_index(path, "/", -1)
+    return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*suffixes) | name.isin(*names)
+
+
+def log_fields(line: Column) -> Column:
+    """Struct of ts, level, module and message of a line ``<time> [LEVEL] [module] message``; null where a line has another form."""
+    form = r"^(\S+ \S+) \[([A-Z]+)\] \[([^\]]*)\] (.*)$"
+    own = F.struct(*[F.regexp_extract(line, form, k).alias(n) for k, n in enumerate(("ts", "level", "module", "message"), 1)])
+    return F.when(line.rlike(form), own)
+
+
+def backoff(base_ms: int, attempt: Column) -> Column:
+    """Milliseconds to wait before the given attempt, from 1: doubled each time."""
+    return (F.lit(base_ms) * F.pow(F.lit(2), attempt - 1)).cast("long")
+
+
+def percent_rate(part: Column, whole: Column) -> Column:
+    """Per cent with one decimal; 0 where the whole is 0."""
+    return F.when(whole == 0, 0.0).otherwise(F.round(part / whole * 1000) / 10)
+
+
+def cut_output(text: Column, lines_: int, chars: int, mark: str) -> Column:
+    """At most so many lines of at most so many characters, and a mark where lines were left out."""
+    own = F.split(text, "\n")
+    some = F.array_join(F.transform(F.slice(own, 1, lines_), lambda x: F.substring(x, 1, chars)), "\n")
+    return F.when(F.size(own) > lines_, F.concat(some, F.lit("\n" + mark))).otherwise(some)

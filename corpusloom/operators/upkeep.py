@@ -65,3 +65,87 @@ def quiet_sessions(events: DataFrame, gap: int) -> DataFrame:
     marked = events.withColumn("_new", F.coalesce(far.cast("int"), F.lit(0)))
     numbered = marked.withColumn("session", F.sum("_new").over(w))
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n_events"), F.min("event_id").alias("least_event"), F.max("event_id").alias("greatest_event"))
+
+
+def changed(now: DataFrame, old: DataFrame, key: str, marks: list[str]) -> DataFrame:
+    """key and state of each row of two snapshots: new, stale (gone), unchanged where all ``marks`` are equal, else changed."""
+    a = now.select(key, F.struct(*marks).alias("_now"))
+    both = a.join(old.select(key, F.struct(*marks).alias("_old")), key, "full_outer")
+    state = F.when(F.col("_now").isNull(), "stale").when(F.col("_old").isNull(), "new").when(F.col("_now") == F.col("_old"), "unchanged").otherwise("changed")
+    return both.select(key, state.alias("state"))
+
+
+def all_present(parts: DataFrame, known: DataFrame, whole: str, part: str) -> DataFrame:
+    """whole, parts and complete: whether every one of its parts is known."""
+    found = parts.join(known.select(part).distinct().withColumn("_known", F.lit(True)), part, "left")
+    return found.groupBy(whole).agg(F.count("*").alias("parts"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("complete"))
+
+
+def ordered_lookup(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of the wanted keys with the place (``pos``) at which each was asked for; unknown keys are left out."""
+    return wanted.join(rows, key)
+
+
+def reconciled(status: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
+    """key and state: a job's state stands for the stored one, where there is a job; a stored run without a job has failed."""
+    both = status.join(jobs, key, "left")
+    state = F.when(F.col("job").isNotNull(), F.col("job")).when(F.col("stored") == "running", "failed").otherwise(F.col("stored"))
+    return both.select(key, state.alias("state"))
+
+
+def first_of_sources(sources: list[DataFrame], key: str) -> DataFrame:
+    """The union of histories; of rows with one key that of the first source stays, and its own first in ``ts``."""
+    rows = [s.withColumn("_source", F.lit(k)) for k, s in enumerate(sources)]
+    union = rows[0]
+    for r in rows[1:]:
+        union = union.unionByName(r)
+    best = union.groupBy(key).agg(F.min_by(F.struct(*sources[0].columns), F.struct("_source", "ts")).alias("_one"))
+    return best.select("_one.*")
+
+
+def page_of(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
+    """One page, from 1, of ``rows`` in a total order, and whether more follow."""
+    total = rows.agg(F.count("*").alias("_total"))
+    some = rows.orderBy(*order).limit(page * size)  # a page's depth bounds what is sorted together
+    place = F.row_number().over(Window.orderBy(*order))
+    return some.withColumn("place", place).where(F.col("place") > (page - 1) * size).join(F.broadcast(total)).withColumn("has_more", F.col("_total") > page * size).drop("_total")  # one row
+
+
+def preflight(files: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
+    """One row: files, bytes, and the limit that is passed, if any."""
+    sums = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
+    return sums.withColumn("breach", F.when(F.col("files") > most_files, "files").when(F.col("bytes") > most_bytes, "bytes").otherwise("none"))
+
+
+def matching_lines(docs: DataFrame, terms: list[str], most: int) -> DataFrame:
+    """doc_id, line_no and line of the first ``most`` lines of each text that hold a term in any case."""
+    hit = lambda x: F.exists(F.array(*map(F.lit, terms)), lambda t: F.contains(F.lower(x), t))
+    numbered = F.transform(F.split("text", "\n"), lambda line, k: F.struct((k + 1).alias("line_no"), line.alias("line")))
+    return docs.select("doc_id", F.inline(F.slice(F.filter(numbered, lambda x: hit(x["line"])), 1, most)))
+
+
+def heading_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """doc_id, section, chunk, start_line, end_line: sections begin at headings of three levels; long ones come in windows.
+
+    Windows of ``size`` lines share ``overlap``; a chunk without words is left out.
+    """
+    lines_ = F.split("text", "\n")
+    heads = F.filter(F.sequence(F.lit(1), F.size(lines_)), lambda k: (k == 1) | F.element_at(lines_, k).rlike("^#{1,3} "))
+    starts = docs.where("text is not null").select("doc_id", lines_.alias("_l"), F.posexplode(heads).alias("section", "_from"), heads.alias("_h"))
+    last = F.coalesce(F.get("_h", F.col("section") + 1) - 1, F.size("_l"))
+    own = starts.withColumn("_to", last).withColumn("_n", F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1 - overlap) / (size - overlap))).cast("int"))
+    rows = own.select("doc_id", "section", "_l", "_from", "_to", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
+    begin = F.col("_from") + F.col("chunk") * (size - overlap)
+    rows = rows.withColumns({"start_line": begin, "end_line": F.least(begin + size - 1, F.col("_to"))})
+    words = F.array_join(F.slice("_l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    return rows.where(F.trim(F.regexp_replace(words, "[\t\n\r]+", " ")) != "").select("doc_id", "section", "chunk", "start_line", "end_line")
+
+
+def split_blobs(docs: DataFrame, most: int) -> DataFrame:
+    """doc_id, name and sha256 of each part of at most ``most`` lines; parts of a longer text are named path#chunkIofN."""
+    own = docs.where("text is not null").select("doc_id", "path", F.split("text", "\n").alias("_l"))
+    n = F.ceil(F.size("_l") / most).cast("int")
+    rows = own.select("doc_id", "path", "_l", n.alias("_n"), F.explode(F.sequence(F.lit(1), n)).alias("_k"))
+    name = F.when(F.col("_n") == 1, F.col("path")).otherwise(F.concat("path", F.lit("#chunk"), "_k", F.lit("of"), "_n"))
+    body = F.array_join(F.slice("_l", (F.col("_k") - 1) * most + 1, F.lit(most)), "\n")
+    return rows.select("doc_id", name.alias("name"), F.sha2(body, 256).alias("sha256"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import age_bucket, byte_size, collapsed, truncated, url_path
+from corpusloom.functions.text import age_bucket, byte_size, cjk_share, collapsed, truncated, url_path
 from corpusloom.sources.tables import table
 
 _C = F.col
@@ -32,8 +32,8 @@ QUERIES = {
         r"SELECT doc_id, substr(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), 1, 320) AS summary FROM documents",
     ),
     "cjk_ratio": (
-        lambda s, d: _docs(s, d).select("doc_id", F.round(F.length(F.regexp_replace("text", r"[^\x{4E00}-\x{9FFF}]", "")) / F.length("text"), 6).alias("ratio")),
-        r"SELECT doc_id, round(length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}]', '', 'g')) / length(text), 6) AS ratio FROM documents",
+        lambda s, d: _docs(s, d).select("doc_id", F.round(cjk_share(_C("text")), 6).alias("ratio")),
+        r"SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE round(length(regexp_replace(text, '[^\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}]', '', 'g')) / length(text), 6) END AS ratio FROM documents",
     ),
     "format_bytes": (
         lambda s, d: _docs(s, d).select("doc_id", byte_size(F.octet_length("text")).alias("size")),

@@ -22,12 +22,12 @@ def _paths(spark, sf):
 
 
 def _roots(spark, sf):
-    """Every host, and every directory that holds a page with an even id."""
+    """Every host, and every directory of two segments."""
     paths = _paths(spark, sf)
-    return paths.select(F.substring_index("path", "/", 1).alias("root")).union(paths.where("page_id % 2 = 0").select(F.regexp_replace("path", "/[^/]*$", ""))).distinct()
+    return paths.select(F.substring_index("path", "/", 1).alias("root")).union(paths.where(F.size(F.split("path", "/")) > 2).select(F.substring_index("path", "/", 2))).distinct()
 
 
-_ROOTS_SQL = f"p AS (SELECT page_id, {_PATH} AS path FROM pages), roots AS (SELECT string_split(path, '/')[1] AS root FROM p UNION SELECT regexp_replace(path, '/[^/]*$', '') FROM p WHERE page_id % 2 = 0)"
+_ROOTS_SQL = f"p AS (SELECT page_id, {_PATH} AS path FROM pages), roots AS (SELECT string_split(path, '/')[1] AS root FROM p UNION SELECT array_to_string(string_split(path, '/')[1:2], '/') FROM p WHERE len(string_split(path, '/')) > 2)"
 
 
 def _progress(spark, sf):
@@ -37,10 +37,11 @@ def _progress(spark, sf):
 
 
 def _changes(spark, sf):
-    old = table(spark, sf, "labels").select("doc_id", _C("quality").alias("_q"))
-    both = _docs(spark, sf).select("doc_id", F.lit(1).alias("_now")).join(old, "doc_id", "full_outer")
-    state = F.when(_C("_now").isNull(), "stale").when(_C("_q").isNull(), "new").when(_C("_q") == 1, "unchanged").otherwise("changed")
-    return both.select("doc_id", state.alias("state"))
+    """Documents against what is known of them: a labelled document's size and hash, of bad ones as they were when shorter."""
+    known = table(spark, sf, "labels").select("doc_id", "quality")
+    now = _docs(spark, sf).select("doc_id", F.octet_length("text").alias("size"), F.crc32(_C("text").cast("binary")).alias("digest"))
+    old = now.join(known, "doc_id").select("doc_id", F.when(_C("quality") == 1, _C("size")).otherwise(_C("size") - 1).alias("size"), "digest")
+    return U.changed(now.where("doc_id % 7 != 0"), old, "doc_id", ["size", "digest"])
 
 
 def _summaries(spark, sf):
@@ -72,8 +73,9 @@ QUERIES = {
     ),
     "change_detect": (
         _changes,
-        """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'stale' WHEN l.quality IS NULL THEN 'new' WHEN l.quality = 1 THEN 'unchanged' ELSE 'changed' END AS state
-FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""",
+        """WITH n AS (SELECT doc_id FROM documents WHERE doc_id % 7 != 0), o AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id))
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'stale' WHEN o.doc_id IS NULL THEN 'new' WHEN o.quality = 1 THEN 'unchanged' ELSE 'changed' END AS state
+FROM n FULL JOIN o ON n.doc_id = o.doc_id""",
     ),
     "progress_percent": (
         _progress,
