@@ -94,8 +94,9 @@ def version_order(one: Column, two: Column) -> Column:
 
 
 def thousands(n: Column) -> Column:
-    """1000 and more as thousands with one decimal and K."""
-    return F.when(n >= 1000, F.concat(F.format_string("%.1f", (n / 1000).cast("double")), F.lit("K"))).otherwise(n.cast("string"))
+    """1000 and more as thousands with one decimal, halves rounded up, and K."""
+    tenths = F.floor((n + 50) / 100)
+    return F.when(n >= 1000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("K"))).otherwise(n.cast("string"))
 
 
 def slug(text: Column, fallback: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import likeness, nearness, retrieval, textops, upkeep
+from corpusloom.plans import codetext, collections, likeness, nearness, retrieval, textops, upkeep
 
-_MODULES = (likeness, nearness, retrieval, textops, upkeep)
+_MODULES = (codetext, collections, likeness, nearness, retrieval, textops, upkeep)
 
 
 def queries() -> dict:

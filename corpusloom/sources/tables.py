@@ -15,16 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a fresh local folder is made and set.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (tests) a fresh
+    local folder is made, one for each application. A cluster without the setting is an error.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_KEY, found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        found = _own[app]
     return found.rstrip("/")
 
 

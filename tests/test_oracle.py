@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corpusloom.plans import registry
@@ -19,7 +20,8 @@ def duck():
 
 
 def rows(frame, names):
-    plain = lambda v: str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    null = lambda v: v is None or v is pd.NA or v is pd.NaT or v != v
+    plain = lambda v: "null" if null(v) else str(float(v)) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted(tuple(map(plain, r)) for r in frame[names].astype(object).itertuples(index=False))
 
 
