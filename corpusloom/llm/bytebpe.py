@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chunks import Codes, SpanTable, gathered
+from corpusloom.llm.session import release
 from corpusloom.llm.wordkernel import pieces, utf8
 from corpusloom.sources.tables import table
 
@@ -233,7 +234,8 @@ def digested(text: Column, path: str, pattern: str) -> Column:
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
                 own = ids[a:b]
                 out.append((b - a, hashlib.sha256(",".join(map(str, own.tolist())).encode()).hexdigest(), hashlib.sha256(bpe.decode(own)).hexdigest()))
-        return pa.array([dict(zip(("n_tokens", "ids_sha256", "decoded_sha256"), x)) for x in out], kind)
+        release()
+        return pa.StructArray.from_arrays([pa.array([x[k] for x in out], t.type) for k, t in enumerate(kind)], fields=list(kind))
 
     return run(text)
 

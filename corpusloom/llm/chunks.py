@@ -62,12 +62,12 @@ class SpanTable:
         self.ids, self.offsets, self.n = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
 
     def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """Append chunks to the table; its arrays grow by doubling."""
+        """Append chunks to the table; its arrays grow by half."""
         used = int(self.offsets[self.n])
         if used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[:used], np.zeros(used + 2 * len(ids), np.int32)])
+            self.ids = np.concatenate([self.ids[:used], np.zeros(used // 2 + 2 * len(ids), np.int32)])
         if self.n + len(sizes) >= len(self.offsets):
-            self.offsets = np.concatenate([self.offsets[: self.n + 1], np.zeros(self.n + 2 * len(sizes), np.int64)])
+            self.offsets = np.concatenate([self.offsets[: self.n + 1], np.zeros(self.n // 2 + 2 * len(sizes), np.int64)])
         self.ids[used : used + len(ids)] = ids
         self.offsets[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
         self.n += len(sizes)

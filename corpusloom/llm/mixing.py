@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.session import row_key
+from corpusloom.llm.session import release, row_key
 from corpusloom.llm.wordkernel import SPACE, pieces, row_of, runs, utf8
 from corpusloom.sources.tables import materialize, table
 
@@ -219,6 +219,7 @@ def slices(text: pa.Array, start: pa.Array, size: pa.Array, block: pa.Array) ->
     heads = at[:-1][np.diff(at) > 0]
     begins[heads] = offsets[:-1][np.diff(at) > 0]
     raw = data.tobytes()
+    release()
     cut_ = pa.array([raw[a:z].decode() for a, z in zip(begins.tolist(), ends.tolist())], pa.string())
     return pa.ListArray.from_arrays(at.astype(np.int32), pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *blocks])), cut_], ["block", "text"]))
 

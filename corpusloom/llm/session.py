@@ -13,14 +13,19 @@ from pyspark.sql import functions as F
 ROWS = 1000
 
 
+def release() -> None:
+    """Give memory that is free back to the system: workers stay for the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
 def small(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut into at most ``ROWS`` rows (Spark bounds their bytes); at the end memory that is free goes back to the system."""
+    """The batches cut into at most ``ROWS`` rows (Spark bounds their bytes)."""
     for batch in parts:
         for i in range(0, len(batch), ROWS):
             yield batch.slice(i, ROWS)
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
-        trim(0)
+    release()
 
 
 def id_fold(doc_id: str, folds: int) -> Column:
