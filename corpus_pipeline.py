@@ -60,7 +60,7 @@ def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     rows = docs.withColumns({"_order": F.xxhash64("text", *docs.columns), "_row": F.monotonically_increasing_id()})
     rows = materialize(rows, "pipeline-rows")  # so that a row has one number in all that follows
-    gone = jaccard.groups(rows, keep=("_order", "_row")).where("not leads").select("_row")
+    gone = materialize(jaccard.groups(rows, keep=("_order", "_row")).where("not leads").select("_row"), "pipeline-gone")  # its size is then known
     return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
