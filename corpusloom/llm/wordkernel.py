@@ -26,7 +26,7 @@ _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the largest n so far."""
     if len(_powers[0]) < n:
-        size = max(n, (1 << 18) + 4096)
+        size = 1 << max(18, n.bit_length())
         for k, b in enumerate((BASE, BASE_INVERSE)):
             run = np.full(size, b, np.uint64)
             run[0] = 1
