@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import grams
+
 # Punctuation that normalising drops.
 PUNCTUATION = ".,!?;:\"'()[]{}。，！？；：“”‘’（）【】、·"
 
@@ -16,12 +18,6 @@ def normalized(text: Column) -> Column:
     return F.translate(spaced, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def grams(text: Column, n: int) -> Column:
-    """All runs of n characters, in order."""
-    last = F.length(text) - (n - 1)
-    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: text.substr(i, F.lit(n)))).when(text.isNotNull(), F.array().cast("array<string>"))
-
-
 def edit_similarity(one: Column, two: Column) -> Column:
     """1 less the edit distance over the longer length."""
     most = F.greatest(F.length(one), F.length(two))
@@ -31,14 +27,21 @@ def edit_similarity(one: Column, two: Column) -> Column:
 def phrase_similarity(one: Column, two: Column) -> Column:
     """Mean over both directions of how near each character has an equal one in the other text."""
 
-    def directed(a: Column, b: Column) -> Column:
-        n = F.size(b)
-        near = lambda c, i: F.array_min(F.transform(b, lambda d, j: F.when(c == d, F.abs(i - j))))
-        part = F.transform(a, lambda c, i: (n - F.least(F.coalesce(near(c, i), n), n)) / n)
-        return F.aggregate(part, F.lit(0.0), lambda t, x: t + x) / F.size(a)
+    def directed(chars: Column, other: Column, turned: Column) -> Column:
+        """Mean nearness of each character to an equal one in ``other``, found by search forwards and, in the reversed text, backwards."""
+        n = F.length(other)
+
+        def part(c: Column, i: Column) -> Column:
+            after, before = F.position(c, other, i + 1), F.position(c, turned, F.greatest(n - i, F.lit(1)))
+            away = F.least(F.when(after > 0, after - 1 - i), F.when(before > 0, i - n + before))
+            return (n - F.least(F.coalesce(away, n), n)) / n
+
+        return F.aggregate(F.transform(chars, part), F.lit(0.0), lambda t, x: t + x) / F.size(chars)
 
-    a, b = grams(one, 1), grams(two, 1)
-    return F.when((one == "") & (two == ""), 1.0).when((one == "") | (two == ""), 0.0).otherwise((directed(a, b) + directed(b, a)) / 2)
+    # one element binds the texts: an outer expression inside a lambda would be worked out again for each character
+    bound = F.array(F.struct(one.alias("a"), two.alias("b"), F.reverse(one).alias("ra"), F.reverse(two).alias("rb"), grams(one, 1).alias("ca"), grams(two, 1).alias("cb")))
+    both = F.get(F.transform(bound, lambda x: (directed(x.ca, x.b, x.rb) + directed(x.cb, x.a, x.ra)) / 2), F.lit(0))
+    return F.when((one == "") & (two == ""), 1.0).when((one == "") | (two == ""), 0.0).when(one.isNotNull() & two.isNotNull(), both)
 
 
 def set_similarity(one: Column, two: Column, n: int = 1) -> Column:

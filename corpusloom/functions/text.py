@@ -70,15 +70,102 @@ def camel_parts(word: Column) -> Column:
     return F.split(word, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
 
+def grams(text: Column, n: int) -> Column:
+    """All runs of n characters, in order; none where the text is shorter, null for null."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    if n == 1:
+        return chars
+
+    def runs(c: Column) -> Column:
+        return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - (n - 1)), lambda i: F.array_join(F.slice(c, i, F.lit(n)), ""))).otherwise(F.array().cast("array<string>"))
+
+    # one element binds the characters: an outer expression inside a lambda would be worked out again for each run
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(chars), runs), F.lit(0)))
+
+
 def code_tokens(text: Column) -> Column:
-    """Distinct lower-case tokens in order of appearance: runs of letters, digits and path signs, their segments between
-    signs, and the segments' camel-case parts. Null for null."""
-    whole = F.transform(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_\-./:\\]+"), F.lit(0)), lambda r: F.regexp_replace(r, r"^[_\-./:\\]+|[_\-./:\\]+$", ""))
-    segments = lambda r: F.split(r, r"[_\-./:\\]+")
-    each = F.transform(whole, lambda r: F.concat(F.array(r), segments(r), F.flatten(F.transform(segments(r), camel_parts))))
+    """Distinct lower-case tokens in order of appearance. Null for null.
+
+    A run of letters, digits and path signs gives itself, then each segment between signs followed by the segment's
+    camel-case parts. A run of CJK ideographs gives itself, its pairs and its triples.
+    """
+    runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9_\-./:\\]+|[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+"), F.lit(0))
+    bare = F.transform(runs, lambda r: F.regexp_replace(r, r"^[_\-./:\\]+|[_\-./:\\]+$", ""))
+    segments = lambda r: F.flatten(F.transform(F.split(r, r"[_\-./:\\]+"), lambda x: F.concat(F.array(x), camel_parts(x))))
+    each = F.transform(bare, lambda r: F.concat(F.array(r), F.when(r.rlike("^[\\x00-\\x7F]*$"), segments(r)).otherwise(F.concat(grams(r, 2), grams(r, 3)))))
     return F.array_distinct(F.transform(F.filter(F.flatten(each), lambda t: t != ""), F.lower))
 
 
+# Words that are no query terms.
+STOP_WORDS = ("the", "and", "for", "from", "with", "this", "that", "what", "where", "when", "代码", "项目", "搜索", "相关", "实现", "如何", "怎么", "什么", "是否")
+
+
+def query_terms(text: Column, most: int = 24) -> Column:
+    """Code tokens of two bytes and more without stop words: ASCII first, then those of two or three characters, then the rest."""
+    found = F.filter(code_tokens(text), lambda t: (F.octet_length(t) >= 2) & ~t.isin(*STOP_WORDS))
+    plain = lambda t: F.octet_length(t) == F.length(t)
+    short = lambda t: ~plain(t) & F.length(t).between(2, 3)
+    return F.slice(F.concat(F.filter(found, plain), F.filter(found, short), F.filter(found, lambda t: ~plain(t) & ~short(t))), 1, most)
+
+
+def markdown_tokens(text: Column) -> Column:
+    """Distinct lower-case runs of two and more ASCII letters and digits, and pairs of the basic CJK block, in order of appearance."""
+    runs = F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9]{2,}|[\x{4E00}-\x{9FFF}]{2,}"), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.array(F.lower(r))).otherwise(grams(r, 2)))))
+
+
+def fnv1a64(data: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, as 16 hex digits. Null for null.
+
+    The product by the prime 2**40 + 435 is taken in two 32-bit halves, so no step leaves the long range.
+    """
+    hexes = F.hex(F.encode(data, "UTF-8"))
+    codes = F.when(F.length(hexes) > 0, F.transform(F.sequence(F.lit(1), F.length(hexes), F.lit(2)), lambda k: F.conv(hexes.substr(k, F.lit(2)), 16, 10).cast("long"))).when(data.isNotNull(), F.array().cast("array<bigint>"))
+    mask = F.lit(0xFFFFFFFF)
+
+    def step(state: Column, byte: Column) -> Column:
+        low = state.low.bitwiseXOR(byte)
+        product = low * 435
+        high = (state.high * 435 + F.shiftright(product, 32) + low * 256).bitwiseAND(mask)
+        return F.struct(high.alias("high"), product.bitwiseAND(mask).alias("low"))
+
+    start = F.struct(F.lit(0xCBF29CE4).cast("long").alias("high"), F.lit(0x84222325).cast("long").alias("low"))
+    word = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    return F.aggregate(codes, start, step, lambda s: F.concat(word(s.high), word(s.low)))
+
+
+# Endings that the stemmer cuts, tried in this order.
+ENDINGS = ("ness", "ment", "tion", "sion", "able", "ible", "ingly", "edly", "ing", "ed", "ly", "ity")
+
+
+def stem(token: Column) -> Column:
+    """The token without its first fitting ending, where more than two bytes stay; else without a plural's es or s.
+
+    Null for null, for tokens of four bytes or fewer, for tokens beyond ASCII, and where nothing is cut.
+    """
+    n = F.length(token)
+    rules = [(end, n > len(end) + 2) for end in ENDINGS] + [("es", n > 5), ("s", (n > 5) & ~token.endswith("ss"))]
+    cut = F.coalesce(*[F.when(token.endswith(end) & long, F.substring(token, F.lit(1), n - len(end))) for end, long in rules])
+    return F.when(token.rlike("^[\\x00-\\x7F]{5,}$"), cut)
+
+
+def answer_files(text: Column) -> Column:
+    """Structs of path and line ranges from the file elements of an answer, in order; null for null.
+
+    The leading /codebase of a path is dropped; other absolute paths and paths with a parent step are left out. A range
+    starts at 1 at least and ends no earlier than it starts.
+    """
+    form = F.lit(r"(?s)<file\s+path=[\"']([^\"']+)[\"']>(.*?)</file>")
+    inside = lambda p: F.regexp_replace(F.translate(F.trim(p), "\\", "/"), "^(/codebase)+/*", "")
+    part = lambda body, k: F.regexp_extract_all(body, F.lit(r"<range>([0-9]{1,9})-([0-9]{1,9})</range>"), F.lit(k))
+
+    def ranges(body: Column) -> Column:
+        return F.zip_with(part(body, 1), part(body, 2), lambda a, b: F.struct(F.greatest(a.cast("int"), F.lit(1)).alias("start"), F.greatest(b.cast("int"), a.cast("int")).alias("end")))
+
+    files = F.zip_with(F.regexp_extract_all(text, form, F.lit(1)), F.regexp_extract_all(text, form, F.lit(2)), lambda p, body: F.struct(inside(p).alias("path"), ranges(body).alias("ranges")))
+    return F.filter(files, lambda f: ~f.path.startswith("/") & ~f.path.rlike(r"(^|/)\.\.(/|$)"))
+
+
 def version_parts(version: Column) -> Column:
     """The numeric parts of a dotted version; parts that are no number are left out."""
     return F.transform(F.filter(F.split(F.regexp_replace(version, "^v", ""), r"\."), lambda x: x.rlike("^[0-9]{1,18}$")), lambda x: x.cast("long"))

@@ -124,10 +124,12 @@ def matching_lines(docs: DataFrame, terms: list[str], most: int) -> DataFrame:
     return docs.select("doc_id", F.inline(F.slice(F.filter(numbered, lambda x: hit(x["line"])), 1, most)))
 
 
-def heading_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """doc_id, section, chunk, start_line, end_line: sections begin at headings of three levels; long ones come in windows.
+def heading_sections(docs: DataFrame, size: int, overlap: int, title: str = "") -> DataFrame:
+    """doc_id, section, chunk, start_line, end_line, heading, content: sections begin at headings of three levels; long ones
+    come in windows.
 
-    Windows of ``size`` lines share ``overlap``; a chunk without words is left out.
+    Windows of ``size`` lines share ``overlap``; a chunk without words is left out. Lines before the first heading have
+    ``title`` as theirs.
     """
     lines_ = F.split("text", "\n")
     heads = F.filter(F.sequence(F.lit(1), F.size(lines_)), lambda k: (k == 1) | F.element_at(lines_, k).rlike("^#{1,3} "))
@@ -137,8 +139,16 @@ def heading_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     rows = own.select("doc_id", "section", "_l", "_from", "_to", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
     begin = F.col("_from") + F.col("chunk") * (size - overlap)
     rows = rows.withColumns({"start_line": begin, "end_line": F.least(begin + size - 1, F.col("_to"))})
-    words = F.array_join(F.slice("_l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
-    return rows.where(F.trim(F.regexp_replace(words, "[\t\n\r]+", " ")) != "").select("doc_id", "section", "chunk", "start_line", "end_line")
+    first = F.element_at("_l", F.col("_from"))
+    heading = F.when(first.rlike("^#{1,3} "), F.trim(F.regexp_replace(first, "^#{1,3} ", ""))).otherwise(title)
+    content = F.array_join(F.slice("_l", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n")
+    rows = rows.select("doc_id", "section", "chunk", "start_line", "end_line", heading.alias("heading"), content.alias("content"))
+    return rows.where(F.trim(F.regexp_replace("content", "[\t\n\r]+", " ")) != "")
+
+
+def heading_chunks(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+    """doc_id, section, chunk, start_line, end_line of ``heading_sections``."""
+    return heading_sections(docs, size, overlap).select("doc_id", "section", "chunk", "start_line", "end_line")
 
 
 def split_blobs(docs: DataFrame, most: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as X
 from corpusloom.operators import nearness as N
 from corpusloom.operators import retrieval as R
+from corpusloom.operators import search as Q
 from corpusloom.operators import upkeep as U
 from corpusloom.sources import files
 from corpusloom.streaming import sessions
@@ -21,7 +22,7 @@ def test_text_functions_on_null_and_empty(spark):
     for f in (X.cjk_share, X.code_tokens, X.plain_path, lambda v: X.byte_size(F.octet_length(v)), lambda v: X.thousands(F.length(v)), X.camel_parts, X.log_fields, lambda v: X.cut_output(v, 2, 2, "m"), lambda v: X.truncated(v, 3)):
         assert one(spark, f, None) is None
     assert one(spark, X.cjk_share, "") == 0 and one(spark, X.cjk_share, "漢㐀豈a") == 0.75
-    assert one(spark, X.code_tokens, "") == [] and one(spark, X.code_tokens, "./src/HTTPServer2Go.rs") == ["src/httpserver2go.rs", "src", "httpserver2go", "rs", "http", "server2", "go"]
+    assert one(spark, X.code_tokens, "") == [] and one(spark, X.code_tokens, "./src/HTTPServer2Go.rs") == ["src/httpserver2go.rs", "src", "httpserver2go", "http", "server2", "go", "rs"]
     assert one(spark, lambda v: X.slug(v, "entry"), "--") == one(spark, lambda v: X.slug(v, "entry"), None) == "entry"
     for a, b, want in (("1.2", "1.2.0", 0), ("1.10", "1.9", 1), ("v1.x.2", "1.3", -1), ("", "0.1", -1)):
         assert one(spark, lambda v, b=b: X.version_order(v, F.lit(b)), a) == want
@@ -81,3 +82,31 @@ def test_log_tail(spark, tmp_path):
     query = sessions.log_tail(spark, str(tmp_path / "logs")).writeStream.format("memory").queryName("tail").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.level, r.module, r.message) for r in spark.table("tail").collect()) == [("ERROR", "io", "[x] failed"), ("INFO", "core", "started")]
+
+
+def test_search_functions_on_odd_texts(spark):
+    for f in (X.query_terms, X.markdown_tokens, X.fnv1a64, X.stem, X.answer_files, lambda v: X.grams(v, 1), lambda v: X.grams(v, 2)):
+        assert one(spark, f, None) is None
+    assert one(spark, X.query_terms, "") == one(spark, X.markdown_tokens, "a 中 !") == one(spark, X.answer_files, "none") == []
+    assert one(spark, lambda v: X.grams(v, 2), "a𝄞é") == ["a𝄞", "𝄞é"] and one(spark, lambda v: X.grams(v, 3), "ab") == []
+    assert one(spark, X.code_tokens, "如何x数据库") == ["如何", "x", "数据库", "数据", "据库"]
+    assert one(spark, X.query_terms, "the 数据库表 getUser 如何 a 码") == ["getuser", "get", "user", "数据", "据库", "库表", "数据库", "据库表", "数据库表", "码"]
+    assert one(spark, X.markdown_tokens, "A UI-card 数据库 card") == ["ui", "card", "数据", "据库"]
+    for text, want in (("", "cbf29ce484222325"), ("a", "af63dc4c8601ec8c"), ("foobar", "85944171f73967e8")):
+        assert one(spark, X.fnv1a64, text) == want
+    for token, want in (("kindness", "kind"), ("glass", None), ("classes", "class"), ("tables", "tabl"), ("ening", None), ("café", None), ("used", None), ("cafés", None)):
+        assert one(spark, X.stem, token) == want
+    text = '<file path="/codebase/a\\b.rs">\n<range>0-3</range><range>9-4</range></file><file path=\'../x\'></file><file path="/etc"></file><file path="c"></file>'
+    assert [(f.path, [tuple(r) for r in f.ranges]) for f in one(spark, X.answer_files, text)] == [("a/b.rs", [(1, 3), (9, 9)]), ("c", [])]
+
+
+def test_searches_on_odd_rows_and_empty_tables(spark):
+    files = spark.createDataFrame([("src/auth.rs", "fn login_user() {}\n"), ("src/db.rs", "open\nclose"), ("a.rs", None), ("b.rs", ""), ("src/db.rs", "open\nclose"), (None, "login")], "path string, text string")
+    asked = spark.createDataFrame([(1, "login user"), (2, None), (3, ""), (4, "open"), (5, "zzz")], "item_id long, text string")
+    found = Q.code_search(Q.code_chunks(files), asked, 3).collect()
+    assert {(r.item_id, r.path, r["rank"], r.covered) for r in found} == {(1, "src/auth.rs", 1, 2), (4, "src/db.rs", 1, 1)}
+    notes = spark.createDataFrame([(1, "# Blue\nsky\n## Left\nblue card"), (2, None), (3, ""), (4, "blue card"), (4, "blue card")], "doc_id long, text string")
+    got = Q.markdown_search(notes, " Blue CARD ", 9, left_out=("Left",), title="t").orderBy("rank").collect()
+    assert [(r.doc_id, r.start_line) for r in got] == [(4, 1), (4, 1), (1, 1)] and got[0].score == 8.0
+    assert Q.markdown_search(notes, "", 9).count() == Q.markdown_search(notes.limit(0), "x", 9).count() == 0
+    assert Q.code_search(Q.code_chunks(files.limit(0)), asked, 3).count() == Q.code_search(Q.code_chunks(files), asked.limit(0), 3).count() == 0
