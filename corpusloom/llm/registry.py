@@ -15,7 +15,12 @@ _MODULES = {
     "op8_jaccard_join": "jaccard",
     "op9_line_rules": "linerules",
     "op10_language_id": "langid",
+    "op11_best_fit_packing": "packing",
+    "op12_lexical_search": "lexsearch",
+    "op13_source_divergence": "divergence",
 }
+#: Those whose module states its SQL.
+_WITH_SQL = ("op12_lexical_search", "op13_source_divergence")
 
 
 def queries() -> dict:
@@ -23,4 +28,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: import_module(f"corpusloom.llm.{_MODULES[name]}").ORACLE for name in _WITH_SQL}

@@ -150,7 +150,7 @@ def unpack(data: bytes) -> tuple[WaveletMatrix, list[int | None], np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> SpanTable:
+def encoder(path: str) -> SpanTable:
     """The tokenizers library's encoder for one worker process; chunks met before are not encoded again."""
     from tokenizers import Tokenizer
 
@@ -199,7 +199,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
     ordered = ordered.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_, part = _encoder(tokenizer), TaskContext.get().partitionId()
+        table_, part = encoder(tokenizer), TaskContext.get().partitionId()
         held: list[np.ndarray] = []
         owners: list[int | None] = []
         sizes: list[int] = []
