@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.functions.text import bm25_tokens, lines
+from corpusloom.operators.postings import PostingStore
 
 K1, B = 1.5, 0.75
 
@@ -40,14 +41,26 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """item_id, rank, doc_id, score: the k best documents of each query (item_id, text); repeated query words count again."""
     terms = queries.select("item_id", F.explode(bm25_tokens(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
     hits = postings(docs).join(terms.select("token").distinct(), "token", "left_semi")
+    return _ranked(hits, terms, corpus_size(docs), k)
+
+
+def _ranked(hits: DataFrame, terms: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """The k best by BM25 from all postings of the query terms (doc_id, token, tf, dl) and the corpus's one row of size."""
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(df, "token").join(terms, "token").join(F.broadcast(corpus_size(docs)))
+    scored = hits.join(df, "token").join(terms, "token").join(F.broadcast(size))
     part = F.col("times") * idf("df", "n") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
     return total.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def bm25_stored(store: PostingStore, queries: DataFrame, k: int) -> DataFrame:
+    """``bm25`` over the files of a stored index of ``bm25_tokens``, with their path: only the queries are tokenised."""
+    terms = queries.select("item_id", F.explode(bm25_tokens(F.col("text"))).alias("token")).groupBy("item_id", "token").agg(F.count("*").alias("times"))
+    hits = store.postings(terms.select(F.col("token").alias("term"))).select(F.col("path").alias("doc_id"), F.col("term").alias("token"), "tf", "dl")
+    return _ranked(hits, terms, store.size(), k).withColumnRenamed("doc_id", "path")
+
+
 def coverage(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """item_id, rank, doc_id, covered: documents by how many distinct query tokens they have."""
     terms = queries.select("item_id", F.explode(F.array_distinct(bm25_tokens(F.col("text")))).alias("token"))

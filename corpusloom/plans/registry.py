@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import codetext, collections, likeness, nearness, retrieval, search, textops, upkeep
+from corpusloom.plans import codetext, collections, likeness, nearness, retrieval, search, stored, textops, upkeep
 
-_MODULES = (codetext, collections, likeness, nearness, retrieval, search, textops, upkeep)
+_MODULES = (codetext, collections, likeness, nearness, retrieval, search, stored, textops, upkeep)
 
 
 def queries() -> dict:
