@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import codetext, collections, indexing, likeness, nearness, retrieval, search, stored, textops, upkeep
+from corpusloom.plans import codetext, collections, indexing, likeness, nearness, retrieval, search, stored, streams, textops, upkeep
 
-_MODULES = (codetext, collections, indexing, likeness, nearness, retrieval, search, stored, textops, upkeep)
+_MODULES = (codetext, collections, indexing, likeness, nearness, retrieval, search, stored, streams, textops, upkeep)
 
 
 def queries() -> dict:
