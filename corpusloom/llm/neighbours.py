@@ -112,10 +112,31 @@ def fit(x: np.ndarray, n_lists: int, how: IvfPq) -> Model:
     return Model(reach, centres, books, cuts)
 
 
-def matrix(column: pa.ChunkedArray | pa.Array, d: int, kind: type = np.float32) -> np.ndarray:
-    """Fixed-length list column as a matrix."""
+def matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
+    """Fixed-length list column as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, d)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
+def shrunk(x: np.ndarray, power: int | np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two, as the index keeps them: exact but for what falls below 32-bit floats."""
+    return np.ldexp(x, -power).astype(np.float32)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products row by row. Where doubles can't hold the parts of one, it is worked out on shrunk vectors, so it is never undefined."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = (x * q).sum(1)
+        far = np.flatnonzero(~np.isfinite(out))
+        if len(far):
+            a, b = (np.frexp(np.abs(v[far]).max(1))[1] for v in (x, q))
+            out[far] = np.ldexp((np.ldexp(x[far], -a[:, None]) * np.ldexp(q[far], -b[:, None])).sum(1), a + b)
+    return out
+
+
+def asked_shrunk(q: np.ndarray) -> np.ndarray:
+    """Queries, each divided by its own power of two: that changes no order of its candidates."""
+    return shrunk(q, np.frexp(np.abs(q).max(1))[1][:, None]) if len(q) else q.astype(np.float32)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -158,6 +179,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
     no part, nor do rows with a null id or another length than most of the sample. A row is no candidate
     of a query with its id; an id that is listed twice as a query is searched once, with its least
     vector; equal scores go by smaller id. Nothing usable gives no rows. Other columns are ignored.
+    Components may have any finite size; a score beyond the doubles is infinite.
     """
     spark = vectors.sparkSession
     shape = "query_id long, rank int, vec_id long, score double"
@@ -174,13 +196,16 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
     d = int(np.bincount([len(v) for v in drawn]).argmax())
     rows, once = rows.where(F.size("embedding") == d), once.where(F.size("embedding") == d)
     total = once.count()
-    sample = np.array([v for v in drawn if len(v) == d], np.float32)
+    # the largest component of all vectors gets below 1, so no product in the index leaves the range of its floats
+    largest = once.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
+    power = int(np.frexp(largest)[1])
+    sample = shrunk(np.array([v for v in drawn if len(v) == d], np.float64), power)
     model = fit(sample, min(how.most_lists, max(1, -(-len(sample) // 4)), max(1, int(how.lists * total**0.5))), how)
     kept = spark.sparkContext.broadcast(model)  # at most most_lists centroids and codes x 256 centres
 
     def assign(parts):
         for b in parts:
-            lists, codes = kept.value.encode(matrix(b.column("embedding"), d))
+            lists, codes = kept.value.encode(shrunk(matrix(b.column("embedding"), d), power))
             yield pa.RecordBatch.from_pydict({"list": pa.array(lists.astype(np.int32)), "key": b.column("key"), "least": b.column("least"), "alone": b.column("alone"), "code": pa.array([c.tobytes() for c in codes], pa.binary())})
 
     coded = materialize(once.select("key", "least", "alone", "embedding").mapInArrow(assign, "list int, key long, least long, alone boolean, code binary"), "ann-codes")
@@ -204,7 +229,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
         salts = max(1, -(-int(share * n_blocks) // how.blocks_a_task))
 
         def visit(t: pa.Table) -> pa.Table:
-            q = matrix(t.column("embedding"), d)
+            q = asked_shrunk(matrix(t.column("embedding"), d))
             lists = np.unique(kept.value.probes(q, share))
             return pa.table({"qblock": pa.array(np.full(len(lists), t.column("qblock")[0].as_py(), np.int32)), "list": pa.array(lists.astype(np.int32))})
 
@@ -214,7 +239,7 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
 
         def scan(left: pa.Table, right: pa.Table) -> pa.Table:
             m, parts = kept.value, []
-            q, names = matrix(right.column("embedding"), d), right.column("query_id").to_numpy()
+            q, names = asked_shrunk(matrix(right.column("embedding"), d)), right.column("query_id").to_numpy()
             wanted = np.zeros((len(q), len(m.centres)), bool)
             if len(q):
                 wanted[np.arange(len(q))[:, None], m.probes(q, share)] = True
@@ -254,9 +279,9 @@ def search(vectors: DataFrame, every: int, k: int, how: IvfPq = IvfPq()) -> Data
         def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
             names = right.column("query_id").to_numpy()
             order = np.argsort(names)
-            q = matrix(right.column("embedding"), d, np.float64)[order]
+            q = matrix(right.column("embedding"), d)[order]
             own = np.searchsorted(names[order], left.column("query_id").to_numpy())
-            score = (matrix(left.column("embedding"), d, np.float64) * q[own]).sum(1)
+            score = products(matrix(left.column("embedding"), d), q[own])
             out = [np.zeros(0, np.int64)]
             for i in range(len(q)):
                 mine = np.flatnonzero(own == i)
