@@ -385,8 +385,17 @@ def learn(docs: DataFrame, fit: Fit = Fit()) -> Tagger | None:
     return train([r["piece"] for r in got], fit) if got else None
 
 
+_AT, _DOT = r"(?:@|[\[({<]?\bat\b[\])}>]?)", r"(?:\.|\s?[\[({<]?\bdot\b[\])}>]?\s?)"
+_ADDRESS = re.compile(rf"[\w.%+-]+\s?{_AT}\s?[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+#: Characters of an address at most, with some for what is spelled out.
+ADDRESS = 280
+
+
 def verified(own: str, kind: int) -> bool:
-    """Whether the numbers and signs in a span of the network can be what it says."""
+    """Whether the numbers and signs in a span of the network can be what it says.
+
+    An address is two names with one at sign, or a spelled one, between them, the second with a dot or a spelled one inside.
+    """
     numbers = re.findall(r"[0-9]+", own)
     digits = "".join(numbers)
     if kind == 1:
@@ -396,7 +405,7 @@ def verified(own: str, kind: int) -> bool:
     if kind == 3:
         return 10 <= len(digits) <= 15
     if kind == 0:
-        return bool(re.search(r"@|(?i:\bat\b)", own)) and bool(re.search(r"\.|(?i:\bdot\b)", own)) and "\n" not in own
+        return len(own) <= ADDRESS and "\n" not in own and bool(_ADDRESS.fullmatch(own.strip()))
     return len(own) >= 16 and not re.search(r"\s", own)
 
 
