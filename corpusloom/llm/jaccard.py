@@ -183,6 +183,8 @@ def shared_grams(sets: DataFrame, bits: int) -> DataFrame:
             many[:-1] |= many[1:]
             group, order = np.cumsum(edge[many]) - 1, order[many]
             df = np.bincount(group) if len(group) else np.zeros(0, np.int64)
+            if len(df) > 1 << NUMBER:
+                raise ValueError(f"{len(df)} shared n-grams in one part, more than {NUMBER} bits can number: deal them into more parts")
             rising = np.argsort(df, kind="stable")
             number = np.empty(len(df), np.int64)
             number[rising] = np.arange(len(df))
