@@ -129,13 +129,18 @@ def train(window: np.ndarray, y: np.ndarray, langs: list[str], fit: Fit) -> Netw
 
 
 def learn(docs: DataFrame, fit: Fit = Fit(), folds: int = 4, held: int = 2) -> Network | None:
-    """Train from text and lang of rows outside fold ``held``; None if there are no such rows."""
+    """Train from text and lang of rows outside fold ``held``; None if there are no such rows.
+
+    At most ``fit.rows`` ids are chosen by hash; of rows that share a chosen id one is taken, that whose text has the least
+    hash. Null texts and rows in another language than the least of their id are left out.
+    """
     chosen = (
         docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(id_fold("doc_id", folds) != held)
         .groupBy("doc_id").agg(F.min("lang").alias("_lang"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit.rows)
     )
     sample = docs.where(F.col("lang").isNotNull()).join(F.broadcast(chosen), "doc_id").where("text is not null and lang = _lang")
+    sample = sample.groupBy("doc_id", "lang").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(parts):
@@ -149,7 +154,7 @@ def learn(docs: DataFrame, fit: Fit = Fit(), folds: int = 4, held: int = 2) -> N
             )
 
     rows = sample.select("doc_id", "lang", F.lower("text").alias("_low")).mapInArrow(run, "doc_id long, lang string, window binary")
-    got = sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))  # all windows of at most fit.rows texts
+    got = sorted(zip(*(c.to_pylist() for c in rows.toArrow().columns)))  # all windows of at most fit.rows texts, one an id
     if not got:
         return None
     langs = sorted({x[1] for x in got})
