@@ -281,6 +281,47 @@ def test_neighbours_of_repeated_ids_and_thin_lists(spark):
         assert whole[whole.query_id == q].sort_values("rank").vec_id.tolist() == [i for i, _ in want]
 
 
+def test_neighbours_of_very_large_and_small_doubles(spark):
+    rng = np.random.default_rng(13)
+    for powers in ((200, 0, 0), (-200, -200, -200), (150, 150, 150), (300, 300, 0), (30, 0, 0)):
+        x = rng.normal(size=(60, 8)) * np.array([10.0 ** powers[k % 3] for k in range(60)])[:, None]
+        frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        assert neighbours.search(frame, 20, 20).count() == 60
+        got = neighbours.search(frame, 20, 20, neighbours.IvfPq(probed=1.0)).toPandas()
+        own = np.frexp(np.abs(x).max(1))[1]
+        for i in (0, 20, 40):
+            with np.errstate(over="ignore"):
+                score = np.ldexp((np.ldexp(x, -own[:, None]) * np.ldexp(x[i], -own[i])).sum(1), own + own[i])
+            want = sorted((k for k in range(60) if k != i), key=lambda k: (-score[k], k))[:20]
+            mine = got[got.query_id == i].sort_values("rank")
+            assert mine.vec_id.tolist() == want, powers
+            assert np.allclose(mine.score, score[want], rtol=1e-12)
+
+
+def test_language_learns_one_row_of_an_id(spark, monkeypatch):
+    rows = [(7, f"eine Zeile mit Wörtern {k}", "de") for k in range(3000)] + [(k, f"a line of words {k}", "en") for k in range(100, 140)] + [(None, "x", "en"), (8, None, "de")]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6), []
+    monkeypatch.setattr(langid, "train", lambda window, y, langs, fit: seen.append((len(window), len(set(y.tolist())))))
+    langid.learn(docs, langid.Fit(rows=100))
+    ids = {7, *range(100, 140)}
+    assert seen[0][0] == sum(1 for i in ids if zlib.crc32(str(i).encode()) % 4 != 2)
+
+
+def test_addresses_are_no_prose():
+    good = ["a.b@c.org", "ann [at] host [dot] org", "ann(at)host.org", "u AT h DOT t", "ann @ host.org", "ann{at}host.co.uk", "x@h dot t"]
+    bad = ["Ating. Ating. Ating. At", "At.", "look at this", "at host.org", "a@b", "ann at", "mail@", "see you at home. Then we go", "a" * 300 + "@b.org", "a@b\n.org"]
+    assert all(pii.verified(x, 0) for x in good) and not any(pii.verified(x, 0) for x in bad)
+
+
+def test_jaccard_numbers_stay_in_their_bits(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(40))) for k in range(2)], "doc_id long, text string")
+    assert jaccard.groups(docs).count() == 2
+    near = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(400 + k))) for k in range(3)], "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "NUMBER", 2)
+    with pytest.raises(Exception, match="deal them into more parts"):
+        jaccard.groups(near).collect()
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     good = [(k, [float(k % 7 - 3), 0.3 * k + 1, -1.0 * (k % 3), 0.1]) for k in range(50)] + [(4, [9.0, 9.0, 9.0, 9.0])]
