@@ -17,15 +17,31 @@ def csv_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, escape='"', mode="PERMISSIVE")
 
 
-def json_or_backup(spark: SparkSession, path: str, backup: str, schema: str) -> DataFrame:
-    """JSON lines at ``path``, or at ``backup`` where the first can't be read; rows of another form are left out."""
-    for where in (path, backup):
+def json_or_backup(spark: SparkSession, path: str, backup: str, schema: str, default: bool = False) -> DataFrame:
+    """JSON lines at ``path``; where that is missing or holds a line of another form, the good lines at ``backup``.
+
+    Where there is no backup, or no good line in it: with ``default`` a table without rows, else an error. Nulls, missing fields and empty
+    lines are no fault. The first file is read once more to look for broken lines.
+    """
+
+    def read(where: str) -> tuple[DataFrame, bool, bool] | None:
+        """Rows, and whether there are good lines and broken ones; None for a missing path."""
         try:
-            return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(where)
+            rows = spark.read.schema(f"{schema}, _broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_broken").json(where)
         except AnalysisException:
-            if where == backup:
-                raise
-    raise AssertionError
+            return None
+        some = lambda what: bool(rows.where(what).limit(1).collect())
+        return rows.where("_broken is null").drop("_broken"), some("_broken is null"), some("_broken is not null")
+
+    first = read(path)
+    if first and not first[2]:
+        return first[0]
+    second = read(backup)
+    if second and (second[1] or not second[2]):
+        return second[0]
+    if default:
+        return spark.createDataFrame([], schema)
+    raise ValueError(f"neither {path} nor {backup} can be read")
 
 
 def is_binary(content: Column) -> Column:

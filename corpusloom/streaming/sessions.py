@@ -21,12 +21,21 @@ def log_tail(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(log_fields(F.col("value")).alias("_f")).where("_f is not null").select("_f.*")
 
 
+def _end(state: tuple, quiet_ms: int, most_ms: int) -> int:
+    """The sooner of both limits."""
+    return min(state[1] + quiet_ms, state[0] + most_ms)
+
+
+def _reason(state: tuple, quiet_ms: int, most_ms: int) -> str:
+    return "quiet" if state[1] + quiet_ms <= state[0] + most_ms else "max_wait"
+
+
 def _fold(key: str, times: list[int], state: tuple | None, quiet_ms: int, most_ms: int) -> tuple[list[tuple], tuple | None]:
     """Finished sessions of one key and the open one, from events in order of time."""
     done = []
     for t in times:
-        if state and (t - state[1] > quiet_ms or t - state[0] > most_ms):
-            done.append((key, *state, "quiet" if t - state[1] > quiet_ms else "max_wait"))
+        if state and t > _end(state, quiet_ms, most_ms):
+            done.append((key, *state, _reason(state, quiet_ms, most_ms)))
             state = None
         state = (state[0], max(t, state[1]), state[2] + 1) if state else (t, t, 1)
     return done, state
@@ -35,21 +44,21 @@ def _fold(key: str, times: list[int], state: tuple | None, quiet_ms: int, most_m
 def capped_sessions(events: DataFrame, quiet_ms: int, most_ms: int, late: str = "0 seconds") -> DataFrame:
     """key, first_ms, last_ms, n_events and reason of each session of a stream (key, ts).
 
-    A session ends before an event that comes more than ``quiet_ms`` after the last one, or more than ``most_ms`` after the
-    first (reason ``max_wait``), or once the watermark has passed its quiet time. State is three numbers a key. Events of
-    one batch are sorted by key; later batches are taken to follow.
+    A session ends ``quiet_ms`` after its last event or ``most_ms`` after its first (reason ``max_wait``), whichever is sooner,
+    once the watermark has passed that or a later event comes. State is three numbers a key. Events of one batch are
+    sorted by key; later batches are taken to follow. ``requests.change_sessions`` does the same with timers.
     """
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = tuple(state.get) if state.exists else None
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], *held, "quiet")], columns=[c.split()[0] for c in OUT.split(", ")])
+            yield pd.DataFrame([(key[0], *held, _reason(held, quiet_ms, most_ms))], columns=[c.split()[0] for c in OUT.split(", ")])
             return
         times = sorted(int(t) for p in parts for t in p["ms"])
         done, held = _fold(key[0], times, held, quiet_ms, most_ms)
         state.update(held)
-        state.setTimeoutTimestamp(max(held[1] + quiet_ms + 1, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(_end(held, quiet_ms, most_ms) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(done, columns=[c.split()[0] for c in OUT.split(", ")])
 
     marked = events.withWatermark("ts", late).withColumn("ms", F.unix_millis("ts"))

@@ -3,6 +3,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
@@ -60,6 +61,21 @@ def test_files_of_several_encodings(spark, tmp_path):
     assert one(spark, files.front_matter, "---\nname: 'x y'\nn: 2\n---\nbody: no") == {"name": "x y", "n": "2"} and one(spark, files.front_matter, "name: x") == {}
 
 
+def test_a_corrupt_file_gives_way_to_its_backup(spark, tmp_path):
+    main, back = tmp_path / "main.json", tmp_path / "back.json"
+    read = lambda **more: [r.id for r in files.json_or_backup(spark, str(main), str(back), "id long, name string", **more).collect()]
+    back.write_text('{"id": 1}\n{"id": 2, "name": "b"}\n')
+    for text, want in (('{"id": 7}\n\n{"name": null}\n', [7, None]), ('{"id": 7}\n{"id": 8', [1, 2]), ("junk", [1, 2]), ("", [])):
+        main.write_text(text)
+        assert read() == want, text
+    main.write_text("junk")
+    for text in ("more junk\n{", None):
+        back.write_text(text) if text else back.unlink()
+        assert read(default=True) == []
+        with pytest.raises(ValueError, match="can be read"):
+            read()
+
+
 def test_streamed_sessions_equal_the_batch_form(spark, tmp_path):
     times = {"a": [0, 10, 20, 100, 130, 160, 190, 220, 400], "b": [5], "c": [0, 29, 58, 87, 300, 301]}
     rows = [(k, datetime(2024, 1, 1) + timedelta(seconds=t)) for k, ts in times.items() for t in ts]
