@@ -131,9 +131,10 @@ def heading_sections(docs: DataFrame, size: int, overlap: int, title: str = "")
     Windows of ``size`` lines share ``overlap``; a chunk without words is left out. Lines before the first heading have
     ``title`` as theirs.
     """
-    lines_ = F.split("text", "\n")
-    heads = F.filter(F.sequence(F.lit(1), F.size(lines_)), lambda k: (k == 1) | F.element_at(lines_, k).rlike("^#{1,3} "))
-    starts = docs.where("text is not null").select("doc_id", lines_.alias("_l"), F.posexplode(heads).alias("section", "_from"), heads.alias("_h"))
+    # one element binds the lines: an outer expression inside a lambda would be worked out again for each line
+    heads = lambda l: F.filter(F.sequence(F.lit(1), F.size(l)), lambda k: (k == 1) | F.element_at(l, k).rlike("^#{1,3} "))
+    bound = F.transform(F.array(F.split("text", "\n")), lambda l: F.struct(l.alias("l"), heads(l).alias("h")))
+    starts = docs.where("text is not null").select("doc_id", F.inline(bound)).select("doc_id", F.col("l").alias("_l"), F.posexplode("h").alias("section", "_from"), F.col("h").alias("_h"))
     last = F.coalesce(F.get("_h", F.col("section") + 1) - 1, F.size("_l"))
     own = starts.withColumn("_to", last).withColumn("_n", F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1 - overlap) / (size - overlap))).cast("int"))
     rows = own.select("doc_id", "section", "_l", "_from", "_to", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("chunk"))
