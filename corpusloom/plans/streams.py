@@ -74,6 +74,6 @@ SELECT flush, coalesce(root, parent) AS project, count(*) AS changed FROM r WHER
     ),
     "event_texts": (
         lambda s, d: A.texts_of_chunks_batch(chunks(s, d)).select("stream", "n", F.sha2("text", 256).alias("sha256"), "progress"),
-        "SELECT CAST(conv_id AS VARCHAR) AS stream, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sha256(text) AS sha256, CAST(least(90, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn)) AS INT) AS progress FROM conversations WHERE text <> ''",
+        "SELECT CAST(conv_id AS VARCHAR) AS stream, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, sha256(text) AS sha256, CAST(least(90, 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 256) AS INT) AS progress FROM conversations WHERE text <> ''",
     ),
 }

@@ -37,7 +37,7 @@ def fed(rest: bytes, data: bytes, last: bool) -> tuple[list[str], bytes]:
 
 
 def _rows(stream: str, n: int, texts: list[str]) -> list[tuple]:
-    return [(stream, n + k, t, min(90, 2 * (n + k))) for k, t in enumerate(texts, 1)]
+    return [(stream, n + k, t, min(90, 2 * (n + k) % 256)) for k, t in enumerate(texts, 1)]
 
 
 class Assembly(StatefulProcessor):
@@ -71,7 +71,7 @@ def texts_of_chunks(chunks: DataFrame) -> DataFrame:
     """stream, n, text, progress of each event of a stream of ``chunks`` (stream, seq from 0, data binary, last boolean).
 
     However a stream's bytes are cut, the events are the same. Lines that are no JSON object with a text are passed over; progress
-    is twice the number of texts, at most 90. Null streams drop; null data is empty.
+    is twice the number of texts in one byte, so it wraps at 256, at most 90. Null streams drop; null data is empty.
     """
     checked(chunks.sparkSession)
     own = chunks.where("stream is not null").select("stream", "seq", "data", F.coalesce("last", F.lit(False)).alias("last"))
