@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import codetext, collections, expansion, indexing, likeness, nearness, protocols, retrieval, scanning, search, stored, streams, textops, trees, upkeep
+from corpusloom.plans import codetext, collections, expansion, indexing, likeness, nearness, protocols, records, retrieval, scanning, search, stored, streams, textops, trees, upkeep
 
-_MODULES = (codetext, collections, expansion, indexing, likeness, nearness, protocols, retrieval, scanning, search, stored, streams, textops, trees, upkeep)
+_MODULES = (codetext, collections, expansion, indexing, likeness, nearness, protocols, records, retrieval, scanning, search, stored, streams, textops, trees, upkeep)
 
 
 def queries() -> dict:
