@@ -358,3 +358,22 @@ def groups(docs: DataFrame, how: Join = Join(), keep: tuple[str, ...] = ()) -> D
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's number of 5-word shingles and its component of links of 0.8 and more."""
     return groups(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+with recursive told as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), sets as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from told
+), shingles as (select doc_id, unnest(s) as shingle from sets
+), sizes as (select doc_id, len(s)::bigint as n_shingles from sets
+), met as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n from shingles a join shingles b on a.shingle = b.shingle and a.doc_id < b.doc_id group by all
+), links as (
+  select o.a, o.b from met o join sizes x on x.doc_id = o.a join sizes y on y.doc_id = o.b where 100 * n >= 80 * (x.n_shingles + y.n_shingles - n)
+), both_ways as (select a, b from links union select b, a from links
+), reach as (select a as doc_id, b as other from both_ways union select r.doc_id, e.b from reach r join both_ways e on r.other = e.a
+), least_of as (select doc_id, min(other) as m from reach group by doc_id
+)
+select doc_id, n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id from sizes left join least_of using (doc_id)
+"""

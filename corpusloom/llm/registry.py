@@ -20,7 +20,7 @@ _MODULES = {
     "op13_source_divergence": "divergence",
 }
 #: Those whose module states its SQL.
-_WITH_SQL = ("op12_lexical_search", "op13_source_divergence")
+_WITH_SQL = ("op8_jaccard_join", "op12_lexical_search", "op13_source_divergence")
 
 
 def queries() -> dict:
