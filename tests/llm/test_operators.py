@@ -549,6 +549,30 @@ def test_odd_rows_and_empty_tables(spark, odd, marks):
         assert call(odd.limit(0), marks.limit(0)).collect() == [], name
 
 
+def test_values_on_odd_rows(spark, odd, marks):
+    """What each operator says of null, empty, blank, short, repeated and very long texts; not only how many rows it gives."""
+    texts = [*ODD, ODD[4], ODD[5]]
+    own = lambda frame, *columns: Counter(tuple(r[c] for c in columns) for r in frame.collect())
+    words = [len(re.findall(WORD, t or "")) for t in texts]
+    raw = [(t or "").encode() for t in texts]
+    assert own(sharding.assign(odd, 3), "size", "text_crc32") == Counter((len(x) + 8, zlib.crc32(x)) for x in raw)
+    coded = bytebpe.encode_documents(odd, *bytebpe.public_file())
+    assert own(coded, "decoded_sha256") == Counter((hashlib.sha256(x).hexdigest(),) for x in raw)
+    assert own(coded.where("n_tokens = 0"), "ids_sha256") == Counter({(hashlib.sha256(b"").hexdigest(),): 2})
+    mixed = mixing.take(odd).collect()
+    assert Counter(r["size"] for r in mixed) == Counter(words) and all(0 <= r["taken"] <= 3 * r["size"] for r in mixed)
+    scored = quality.score(odd, quality.learn(odd, marks)).collect()
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in scored)
+    base = [Counter(pii.KINDS[k] for _, _, k in pii.base_spans(t or "")) for t in texts]
+    assert own(pii.find(odd, pii.learn(odd, pii.Fit(rows=60, epochs=1))), "n_email", "n_ip", "n_card", "n_phone") == Counter(tuple(b[k] for k in ("email", "ip", "card", "phone")) for b in base)
+    size = lambda t: (lambda w: len({tuple(w[i : i + 5]) for i in range(len(w) - 4)}) if len(w) >= 5 else min(1, len(w)))(re.findall(WORD, (t or "").lower() if (t or "").isascii() else (t or "")))
+    assert own(jaccard.groups(odd), "n_shingles") == Counter((size(t),) for t in texts)
+    judged = linerules.judge(odd, linerules.learn(odd, marks)).collect()
+    assert Counter(r["n_words"] for r in judged) == Counter(words) and all(r["base_failed"] for r in judged if r["n_words"] < 50) and not any(r["kept"] for r in judged if r["base_failed"])
+    named = langid.predict(odd, langid.learn(odd)).collect()
+    assert sum(r["lang_pred"] == "und" for r in named) == sum(not re.search(r"[^\W\d_]", t or "") for t in texts) and all(0 <= r["score"] <= 1 for r in named)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline as p
 
