@@ -149,15 +149,19 @@ def stem(token: Column) -> Column:
     return F.when(token.rlike("^[\\x00-\\x7F]{5,}$"), cut)
 
 
+# The form of an answer's file elements and their ranges.
+FILE_FORM, RANGE_FORM = r"(?s)<file\s+path=[\"']([^\"']+)[\"']>(.*?)</file>", r"<range>([0-9]{1,9})-([0-9]{1,9})</range>"
+
+
 def answer_files(text: Column) -> Column:
     """Structs of path and line ranges from the file elements of an answer, in order; null for null.
 
     The leading /codebase of a path is dropped; other absolute paths and paths with a parent step are left out. A range
-    starts at 1 at least and ends no earlier than it starts.
+    starts at 1 at least and ends at the greater of both its numbers, so 0-0 gives 1 to 0.
     """
-    form = F.lit(r"(?s)<file\s+path=[\"']([^\"']+)[\"']>(.*?)</file>")
+    form = F.lit(FILE_FORM)
     inside = lambda p: F.regexp_replace(F.translate(F.trim(p), "\\", "/"), "^(/codebase)+/*", "")
-    part = lambda body, k: F.regexp_extract_all(body, F.lit(r"<range>([0-9]{1,9})-([0-9]{1,9})</range>"), F.lit(k))
+    part = lambda body, k: F.regexp_extract_all(body, F.lit(RANGE_FORM), F.lit(k))
 
     def ranges(body: Column) -> Column:
         return F.zip_with(part(body, 1), part(body, 2), lambda a, b: F.struct(F.greatest(a.cast("int"), F.lit(1)).alias("start"), F.greatest(b.cast("int"), a.cast("int")).alias("end")))
@@ -222,9 +226,13 @@ def file_supported(path: Column, suffixes: tuple[str, ...], names: tuple[str, ..
     return F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).isin(*suffixes) | name.isin(*names)
 
 
+# The form of a log line.
+LINE_FORM = r"^(\S+ \S+) \[([A-Z]+)\] \[([^\]]*)\] (.*)$"
+
+
 def log_fields(line: Column) -> Column:
     """Struct of ts, level, module and message of a line ``<time> [LEVEL] [module] message``; null where a line has another form."""
-    form = r"^(\S+ \S+) \[([A-Z]+)\] \[([^\]]*)\] (.*)$"
+    form = LINE_FORM
     own = F.struct(*[F.regexp_extract(line, form, k).alias(n) for k, n in enumerate(("ts", "level", "module", "message"), 1)])
     return F.when(line.rlike(form), own)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Backups of a log: name.1 is the newest, name.<BACKUPS> the oldest.
 BACKUPS = 5
+# The form of a log line with its time to the millisecond.
+LINE_FORM = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) \[([A-Z]+)\] \[([^\]]+)\] (.*)$"
 EVENTS = "path string, kind string, n int, line string"
 
 
@@ -62,7 +64,7 @@ def last_lines(spark: SparkSession, folder: str, name: str, target: str = "combi
 
 def log_columns(line: Column) -> Column:
     """Struct of timestamp, level, module, message and raw of a line; where it has another form the message is the line and the rest is empty."""
-    form = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}) \[([A-Z]+)\] \[([^\]]+)\] (.*)$"
+    form = LINE_FORM
     names, found = ("timestamp", "level", "module", "message"), line.rlike(form)
     parts = [F.when(found, F.regexp_extract(line, form, k)).otherwise(line if n == "message" else F.lit("")).alias(n) for k, n in enumerate(names, 1)]
     return F.struct(*parts, line.alias("raw"))
