@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chunks import Codes, SpanTable, gathered
-from corpusloom.llm.session import release
+from corpusloom.llm.session import KEPT, forget, release
 from corpusloom.llm.wordkernel import pieces, utf8
 from corpusloom.sources.tables import table
 
@@ -220,6 +220,9 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+KEPT["coder"] = coder.cache_clear
+
+
 DIGEST = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -229,6 +232,7 @@ def digested(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf(f"struct<{DIGEST.replace(' long', ': long').replace(' string', ': string')}>")
     def run(column: pa.Array) -> pa.Array:
+        forget("coder")
         bpe, out = coder(path, pattern), []
         for ids, at in bpe.encode(column):
             for a, b in zip(at[:-1].tolist(), at[1:].tolist()):

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from corpusloom.llm.session import release, row_key
+from corpusloom.llm.session import forget, release, row_key
 from corpusloom.llm.wordkernel import SPACE, pieces, row_of, runs, utf8
 from corpusloom.sources.tables import materialize, table
 
@@ -40,6 +40,7 @@ class Mix:
 @F.arrow_udf(T.LongType())
 def n_words(text: pa.Array) -> pa.Array:
     """Number of runs of bytes other than ASCII white space; null has none."""
+    forget()
     data, offsets = utf8(text)
     out = [np.zeros(0, np.int64)]
     for i, j in pieces(offsets):
@@ -196,6 +197,7 @@ def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, how: Mix = Mix()
 @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("block", T.LongType()), T.StructField("text", T.StringType())])))
 def slices(text: pa.Array, start: pa.Array, size: pa.Array, block: pa.Array) -> pa.Array:
     """The document's text cut where its words cross block borders; white space stays with the word before."""
+    forget()
     data, offsets = utf8(text)
     first, n, b = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (start, size, block))
     blocks, ends, lists = [], [], [np.zeros(1, np.int64)]

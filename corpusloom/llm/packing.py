@@ -150,7 +150,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, most: int, ids: boo
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(most + 1, np.int64)
-        for batch in small(parts):
+        for batch in small(parts, "encoder"):
             doc_ids, (data, offsets) = batch.column("doc_id"), utf8(batch.column("text"))
             for i, j in pieces(offsets, 1 << 20):
                 flat, at = known.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,8 +20,20 @@ def release() -> None:
         trim(0)
 
 
-def small(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches cut into at most ``ROWS`` rows (Spark bounds their bytes)."""
+#: What worker processes keep from task to task, by name: how to drop it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def forget(but: str = "") -> None:
+    """Drop what this worker keeps for other operators' tasks, all but the named: a worker stays for the stages that follow."""
+    for name, drop in KEPT.items():
+        if name != but:
+            drop()
+
+
+def small(parts: Iterator[pa.RecordBatch], keeps: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches cut into at most ``ROWS`` rows (Spark bounds their bytes). Only what ``keeps`` names is kept of earlier tasks."""
+    forget(keeps)
     for batch in parts:
         for i in range(0, len(batch), ROWS):
             yield batch.slice(i, ROWS)

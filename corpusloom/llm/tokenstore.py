@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.chunks import SpanTable
-from corpusloom.llm.session import small
+from corpusloom.llm.session import KEPT, small
 from corpusloom.llm.wordkernel import pieces, utf8
 from corpusloom.sources.tables import fresh_path, materialize, table
 
@@ -179,6 +179,9 @@ def encoder(path: str) -> SpanTable:
     return SpanTable(apart, together, special=tuple(added.values()))
 
 
+KEPT["encoder"] = encoder.cache_clear
+
+
 def _save(folder: str, name: str, data: bytes) -> None:
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
@@ -213,7 +216,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> D
             done.append({"part": part, "shard": shard, "name": name, "n_docs": len(owners), "n_tokens": total})
             held, owners, sizes, total, shard = [], [], [], 0, shard + 1
 
-        for batch in small(parts):
+        for batch in small(parts, "encoder"):
             ids_of, (data, offsets) = batch.column("doc_id").to_pylist(), utf8(batch.column("text"))
             for i, j in pieces(offsets, 1 << 20):
                 ids, at = table_.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
