@@ -96,3 +96,13 @@ def test_sequences_and_odd_rows(spark):
     first = got[got.sequence_id == whole.sequence_id[0]].sort_values("offset")
     assert [x for ids in first.ids for x in ids] == list(whole.ids[0])
     assert packing.pack(docs.limit(0), PATH).collect() == []
+
+
+def test_workers_drop_what_other_operators_keep():
+    from corpusloom.llm import bytebpe, session, tokenstore
+
+    bytebpe.coder(*bytebpe.public_file())
+    tokenstore.encoder(PATH)
+    session.forget("coder")
+    assert (bytebpe.coder.cache_info().currsize, tokenstore.encoder.cache_info().currsize) == (1, 0)
+    assert list(session.small(iter([]))) == [] and bytebpe.coder.cache_info().currsize == 0
