@@ -298,6 +298,44 @@ def test_neighbours_of_very_large_and_small_doubles(spark):
             assert np.allclose(mine.score, score[want], rtol=1e-12)
 
 
+def test_neighbours_of_any_vectors(spark):
+    rng = np.random.default_rng(17)
+    near = rng.normal(size=(2, 16))[rng.integers(0, 2, 1200)] + 0.002 * rng.normal(size=(1200, 16))
+    loud = rng.normal(size=(900, 16)) * np.where(np.arange(900) == 7, 1e30, 1)[:, None]
+    others = [(5000 + k, rng.normal(size=3).tolist()) for k in range(40)]
+    for x, short, how in ((loud, [], {}), (near, others, {"cells": 16 * 256})):
+        ids = rng.permutation(len(x))
+        table = spark.createDataFrame(list(zip(ids.tolist(), x.tolist())) + short, "vec_id long, embedding array<double>")
+        got = neighbours.search(table, 20, 20, neighbours.IvfPq(**how)).toPandas().sort_values(["query_id", "rank"])
+        own = {q: list(zip(g.vec_id, g.score)) for q, g in got.groupby("query_id")}
+        want = brute_neighbours(ids, x, ids[ids % 20 == 0]) | brute_neighbours(np.array([i for i, _ in short]), np.array([v for _, v in short]), [i for i, _ in short[::20]])
+        assert own.keys() == want.keys()
+        for q, rows in want.items():
+            assert [i for i, _ in own[q]] == [i for i, _ in rows] and np.allclose([s for _, s in own[q]], [s for _, s in rows], rtol=1e-12, atol=0)
+
+
+def test_neighbours_rule_out_nothing_that_counts():
+    rng = np.random.default_rng(18)
+    for scale, other in ((1.0, 1.0), (1e-300, 1.0), (1e300, 1.0), (1e-161, 1e-162), (1e160, 1e150), (0.0, 1.0)):
+        x = rng.normal(size=(400, 6)) * np.where(np.arange(400) % 3 == 0, scale, other)[:, None]
+        if not scale:  # many scores are level
+            x = np.sign(x + 0.1) + (rng.random((400, 6)) < 0.3)
+        q, names, least = x[::40], np.arange(0, 400, 40), np.arange(400)
+        scores = np.stack([neighbours.products(x, np.broadcast_to(v, x.shape)) for v in q])
+        scores[np.arange(len(q)), names] = -np.inf
+        floor = np.sort(scores, 1)[:, -5]
+        floor[3] = -np.inf
+        who, what, score = neighbours.up_to_floor(x, least, np.ones(400, bool), q, names, floor, 5)
+        power = int(np.frexp(np.abs(x).max())[1])
+        centres = np.ldexp(x[:20], -power)
+        lists = np.linalg.norm(np.ldexp(x, -power)[:, None] - centres, axis=2).argmin(1)
+        apart = np.array([np.linalg.norm(np.ldexp(x, -power)[lists == c] - centres[c], axis=1).max(initial=0) for c in range(20)])
+        for i in range(len(q)):
+            best = np.lexsort((least, -scores[i]))[:5]
+            assert sorted(what[who == i]) == sorted(best) and set(score[who == i]) == set(scores[i][best])
+            assert set(lists[best]) <= set(neighbours.within_reach(q[i : i + 1], floor[i : i + 1], centres, apart, power))
+
+
 def test_language_learns_one_row_of_an_id(spark, monkeypatch):
     rows = [(7, f"eine Zeile mit Wörtern {k}", "de") for k in range(3000)] + [(k, f"a line of words {k}", "en") for k in range(100, 140)] + [(None, "x", "en"), (8, None, "de")]
     docs, seen = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6), []
