@@ -59,7 +59,8 @@ def object_end(text: Column) -> Column:
     Braces in strings do not count, nor do escaped quotes end a string; a closing brace without an open one ends at once. The fold runs
     over strings, braces and what lies between, not over single characters.
     """
-    parts = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\[\s\S])*"?|[{}]|[^"{}]+'), F.lit(0))
+    # possessive loops run without a call for each character, so a long string can't overflow a task's stack
+    parts = F.regexp_extract_all(text, F.lit(r'"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"?|[{}]|[^"{}]++'), F.lit(0))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(None).cast("int").alias("end"))
 
     def step(s: Column, part: Column) -> Column:

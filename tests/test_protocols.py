@@ -136,3 +136,9 @@ def test_object_ends_against_a_plain_scanner(spark):
     assert one('answer: {"n": 12, "s": "q"} and more', lambda t: P.loose_field(t, "n")) == "12" and one('{"n": 12', lambda t: P.loose_field(t, "n")) is None
     deep = "{" * 3000 + '"}"' + "}" * 3000
     assert one(deep + "}}", P.object_end) == len(deep)
+
+
+def test_a_long_string_in_an_object(spark):
+    inside = '{"k": "' + 'a\\"}' * 100_000 + '"}'
+    got = spark.createDataFrame([(inside + " tail",), ('"' + "\\\\" * 100_000,)], "t string").select(P.object_end(F.col("t")).alias("e"), P.json_head(F.col("t")).alias("h")).collect()
+    assert [r.e for r in got] == [len(inside), None] and [r.h for r in got] == [inside, None]
