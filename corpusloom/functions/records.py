@@ -80,6 +80,20 @@ def compared(runs: DataFrame, by: list[str]) -> DataFrame:
     return means.select(*by, verdict.alias("verdict"), percent.alias("percent"))
 
 
+def mean_change(runs: DataFrame, by: list[str]) -> DataFrame:
+    """percent of ``runs`` (first, second) for each value of ``by``: by how much the mean of second differs from that of first, cut toward zero.
+
+    Values count in ten-thousandths, halves away from zero, and the rest is whole numbers, so the order of rows plays no part. Null
+    where first has no mean above 0 or second none; values that are no finite numbers are an error.
+    """
+    whole = lambda c: c.cast("decimal(19,0)")
+    total = lambda c: whole(F.sum(F.round(F.col(c) * 10_000).cast("long")))
+    sums = runs.groupBy(*by).agg(total("first").alias("_a"), total("second").alias("_b"), whole(F.count("first")).alias("_m"), whole(F.count("second")).alias("_n"))
+    a, b = F.col("_a") * F.col("_n"), F.col("_b") * F.col("_m")
+    percent = F.when((F.col("_a") > 0) & (F.col("_n") > 0), F.call_function("div", (b - a) * 100, a))
+    return sums.select(*by, percent.alias("percent"))
+
+
 def distinct_rows(rows: DataFrame, order: list[str], columns: list[str] | None = None) -> DataFrame:
     """The first in ``order`` of rows that are alike in ``columns``, all but those of ``order`` by default.
 

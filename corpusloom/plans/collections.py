@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.records import mean_change
 from corpusloom.functions.text import percent_rate
 from corpusloom.operators import upkeep as U
 from corpusloom.sources.tables import table
@@ -75,11 +76,11 @@ FROM (SELECT user_id, count(*) AS calls, count_if(event_type = 'error') AS error
         "SELECT o_orderpriority, count(*) AS total, count_if(o_orderstatus = 'F') AS synced, count_if(o_orderstatus = 'O') AS open, count_if(o_orderstatus = 'P') AS running FROM orders GROUP BY 1",
     ),
     "compare_verdict": (
-        lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.avg(F.when(_C("event_type") == "view", _C("value"))).alias("_a"), F.avg(F.when(_C("event_type") == "click", _C("value"))).alias("_b"))
-        .select("user_id", F.when(_C("_a") > 0, ((_C("_b") - _C("_a")) / _C("_a") * 100).cast("long")).alias("percent"))
+        lambda s, d: mean_change(table(s, d, "events").select("user_id", F.when(_C("event_type") == "view", _C("value")).alias("first"), F.when(_C("event_type") == "click", _C("value")).alias("second")), ["user_id"])
         .withColumn("verdict", F.when(_C("percent").isNull(), "unknown").when(_C("percent") > 5, "slower").when(_C("percent") < -5, "faster").otherwise("level")),
         """SELECT user_id, percent, CASE WHEN percent IS NULL THEN 'unknown' WHEN percent > 5 THEN 'slower' WHEN percent < -5 THEN 'faster' ELSE 'level' END AS verdict
-FROM (SELECT user_id, CASE WHEN a > 0 THEN CAST(trunc((b - a) / a * 100) AS BIGINT) END AS percent FROM (SELECT user_id, avg(CASE WHEN event_type = 'view' THEN value END) AS a, avg(CASE WHEN event_type = 'click' THEN value END) AS b FROM events GROUP BY 1))""",
+FROM (SELECT user_id, CASE WHEN a > 0 THEN CAST((b * m - a * n) * 100 // (a * n) AS BIGINT) END AS percent FROM (SELECT user_id, sum(u) FILTER (event_type = 'view') AS a, count(u) FILTER (event_type = 'view')::HUGEINT AS m,
+sum(u) FILTER (event_type = 'click') AS b, count(u) FILTER (event_type = 'click')::HUGEINT AS n FROM (SELECT user_id, event_type, CASE WHEN event_type IN ('view', 'click') THEN CAST(round(value * 10000) AS BIGINT) END AS u FROM events) GROUP BY 1))""",
     ),
     "scope_preflight": (
         lambda s, d: U.preflight(table(s, d, "documents").select(F.octet_length("text").alias("size")), 10_000_000, 200_000),

@@ -3,9 +3,11 @@
 import random
 from datetime import datetime
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpusloom.functions import records as R
+from corpusloom.plans import collections
 
 
 def told(spark, values, shape, column):
@@ -56,3 +58,18 @@ def test_projects_and_runs(spark):
     assert sorted(map(tuple, R.compared(runs, ["g"]).collect())) == [(1, "proxy", 50), (2, "unknown", None), (3, "level", None), (4, "direct", 66)]
     same = spark.createDataFrame([(3, "a", None), (1, "a", None), (2, None, "a"), (4, "a", "")], "at int, x string, y string")
     assert sorted(map(tuple, R.distinct_rows(same, ["at"]).collect()), key=str) == [(1, "a", None), (2, None, "a"), (4, "a", "")]
+
+
+def test_a_change_of_means_takes_no_part_of_the_order_of_rows(spark, tmp_path):
+    # each order of 0.1, 0.2 and 0.3 has its own sum of doubles, and the change is a whole number of per cent
+    values = {1: (0.1, 0.2, 0.3), 2: (0.3, 0.2, 0.1), 3: (0.2, 0.3, 0.1), 4: (0.7, 0.1, 0.3), 5: (0.0,), 6: (None, 0.1), 7: (), 8: (-1.0,)}
+    rows = [(user, "view", v) for user, own in values.items() for v in own] + [(user, "click", 0.4) for user in values] + [(9, "view", 1.0), (10, "error", 2.0)]
+    frame = spark.createDataFrame(rows, "user_id long, event_type string, value double").coalesce(1)
+    frame.write.parquet(f"{tmp_path}/events.parquet")
+    query, sql = collections.QUERIES["compare_verdict"]
+    got = {r.user_id: (r.percent, r.verdict) for r in query(spark, f"file://{tmp_path}").collect()}
+    none = (None, "unknown")
+    assert got == {1: (100, "slower"), 2: (100, "slower"), 3: (100, "slower"), 4: (9, "slower"), 5: none, 6: (300, "slower"), 7: none, 8: none, 9: none, 10: none}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert {u: (p, v) for u, p, v in con.execute(sql).fetchall()} == got
