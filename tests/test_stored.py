@@ -72,3 +72,20 @@ def test_stored_code_search_reads_the_index(spark, tmp_path):
     asked = spark.createDataFrame([(1, "handleRequest3"), (2, "request m1.rs"), (3, "")], "item_id long, text string")
     assert rows(Q.code_search_stored(own, asked, 4)) == rows(Q.code_search(Q.code_chunks(snap), asked, 4))
     assert all(f.startswith(own.folder.removesuffix("/")) for f in Q.code_search_stored(own, asked, 4).inputFiles())
+
+
+def test_postings_are_written_and_read_without_a_shuffle(spark, tmp_path):
+    own = store(spark, tmp_path)
+    first = [(f"f{k}.rs", 1, 5, f"common word{k} common") for k in range(200)] + [("null.md", 1, 0, None)]
+    own.sync(spark.createDataFrame(first, SHAPE).repartition(3))
+    own.sync(spark.createDataFrame([(p, 2 if k % 3 == 0 else 1, n, f"later {t}" if k % 3 == 0 else t) for k, (p, _, n, t) in enumerate(first) if k % 5], SHAPE).repartition(2))
+    found = own.postings()
+    assert "path" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hash" in x and "term" in x)
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(t, p, sum(x == t for x in own_), len(own_)) for k, (p, _, _, text) in enumerate(first) if k % 5 and text for own_ in [(f"later {text}" if k % 3 == 0 else text).split()] for t in own_}
+    assert {(r.term, r.path, r.tf, r.dl) for r in found.collect()} == want
+    asked = spark.createDataFrame([("common",), ("later",), ("nowhere",)], "term string")
+    assert {(r.term, r.path, r.tf, r.dl) for r in own.postings(asked).collect()} == {x for x in want if x[0] in ("common", "later")}
+    # a unit has a row for each bucket of its terms, not one for each term
+    assert spark.read.parquet(f"{own.folder}/postings/gen=1").count() < sum(len(set((t or "").split())) for _, _, _, t in first) + 1
+    assert {r.path: (r.units, r.tokens) for r in own.files().collect()}["f1.rs"] == (1, 3)
