@@ -89,3 +89,18 @@ def test_postings_are_written_and_read_without_a_shuffle(spark, tmp_path):
     # a unit has a row for each bucket of its terms, not one for each term
     assert spark.read.parquet(f"{own.folder}/postings/gen=1").count() < sum(len(set((t or "").split())) for _, _, _, t in first) + 1
     assert {r.path: (r.units, r.tokens) for r in own.files().collect()}["f1.rs"] == (1, 3)
+
+
+def test_code_search_where_chunks_lie_equals_joins(spark, monkeypatch):
+    rng = random.Random(9)
+    words = ["alpha", "betaRay", "gamma_x", "delta", "fn", "漢字検索", "zeta.rs"]
+    files = spark.createDataFrame([(f"src/{k % 7}/m{k}.rs", "\n".join(" ".join(rng.choices(words[k % 4 :], k=4)) for _ in range(rng.choice([1, 90, 200])))) for k in range(120)] + [("empty.rs", ""), ("null.rs", None)], "path string, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma_x zeta"), (3, "検索 delta"), (4, ""), (5, "nowhere"), (6, "fn m7.rs"), (7, None)], "item_id int, text string")
+    chunks, seen, plain = Q.code_chunks(files), [], Q._ranked_where_they_lie
+    monkeypatch.setattr(Q, "_ranked_where_they_lie", lambda *a: seen.append(1) or plain(*a))
+    twice = chunks.unionByName(chunks.where("path like '%m1%'"))
+    here, joined = [rows(Q.code_search(x, q, 3)) for x in (chunks, twice) for q in (asked, asked.limit(0))], []
+    assert len(seen) == 2  # a path that comes again is joined
+    monkeypatch.setattr(Q, "ITEMS", -1)
+    joined = [rows(Q.code_search(x, q, 3)) for x in (chunks, twice) for q in (asked, asked.limit(0))]
+    assert here == joined and len(here[0]) > 9 and len(seen) == 2
